@@ -10,6 +10,7 @@ from docpress.catalog.registry import (
     sensor_frames, table_path)
 from docpress.catalog.windows import STREAM_TIMEOUT_SECONDS
 from docpress.functions.codec import decompress
+from docpress.operators.layout import TASKS_PER_CORE
 from docpress.plans.batch import run_batch
 from docpress.plans.daily import checked_run
 from docpress.plans.stream import run_stream
@@ -38,7 +39,8 @@ def batch_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint")
     frames = sensor_frames(event_stream(spark, sf_dir))
-    running = run_stream(spark, path, checkpoint, frames=frames, available_now=True, as_of=AS_OF)
+    running = run_stream(spark, path, checkpoint, frames=frames, available_now=True, as_of=AS_OF,
+                         partitions=TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     running.awaitTermination(STREAM_TIMEOUT_SECONDS)
     return read_collection(spark, path).select(
         "key", micros("timestamp").alias("timestamp"), "data.sensor_id", "data.temperature",

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from docpress.catalog.registry import (
     AS_OF, AS_OF_TEXT, EVENT_PAYLOAD_SQL, FRAMES_SQL, SIZED_DOCUMENTS_SQL, micros, query,
-    sensor_frames, sized_documents, table)
+    sensor_frames, sized_documents, table, table_path)
 from docpress.functions.codec import compress, decompress
 from docpress.functions.parsing import decode_frames, parse_json
 from docpress.functions.payload import document_id, row_json
 from docpress.functions.sizes import original_size
-from docpress.operators.documents import batch_documents, split_rejects, stamp
-from docpress.operators.layout import spread
+from docpress.operators.documents import batch_documents, classify_frames, stamp
+from docpress.operators.layout import read_spread, spread
 
 
 @query("frame_decode", f"""
@@ -53,13 +53,11 @@ def json_parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = sensor_frames(events).withColumn("value", F.when(
         F.get_json_object(text, "$.metadata.type") == "error",
         F.substring(text, F.lit(1), F.char_length(text) - 1)).otherwise(text).cast("binary"))
-    parsed, rejected = split_rejects(cut)
-    return parsed.select(
-        "key", F.lit("parsed").alias("outcome"), F.col("data.temperature").alias("temperature"),
-        F.lit(None).cast("string").alias("corrupt_record"),
-    ).unionByName(rejected.select(
-        "key", F.lit("rejected").alias("outcome"), F.lit(None).cast("double").alias("temperature"),
-        "corrupt_record"))
+    classified = classify_frames(cut)
+    return classified.select(
+        "key",
+        F.when(F.col("corrupt_record").isNull(), "parsed").otherwise("rejected").alias("outcome"),
+        F.col("data.temperature").alias("temperature"), "corrupt_record")
 
 
 @query("stamp_as_of", f"select event_id, '{AS_OF_TEXT}' as process_timestamp from events")
@@ -80,7 +78,8 @@ def row_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ({EVENT_PAYLOAD_SQL})
 """)
 def document_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = batch_documents(table(spark, sf_dir, "events"), id_col="event_id", as_of=AS_OF)
+    documents = batch_documents(read_spread(spark, table_path(sf_dir, "events")), id_col="event_id",
+                                as_of=AS_OF)
     return documents.select(
         "_id", "original_size", decompress("data").alias("payload"),
         micros("metadata.timestamp").alias("stored_at"),
@@ -105,7 +104,7 @@ def repartition_keeps_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from (select doc_id, to_json(q)::varchar as payload from documents q)
 """)
 def compress_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = read_spread(spark, table_path(sf_dir, "documents"))
     packed = documents.select("doc_id", compress(row_json(documents.columns)).alias("data"))
     back = packed.select("doc_id", decompress("data").alias("payload"))
     return back.select("doc_id", F.md5("payload").alias("md5"),
@@ -116,7 +115,8 @@ def compress_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, md5(text) as md5, strlen(text)::bigint as n_bytes from documents
 """)
 def compress_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = table(spark, sf_dir, "documents").select("doc_id", compress("text").alias("data"))
+    documents = read_spread(spark, table_path(sf_dir, "documents"))
+    packed = documents.select("doc_id", compress("text").alias("data"))
     back = packed.select("doc_id", decompress("data").alias("text"))
     return back.select("doc_id", F.md5("text").alias("md5"), original_size("text").alias("n_bytes"))
 

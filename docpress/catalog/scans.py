@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from docpress.catalog.registry import micros, query, table, table_path
 from docpress.functions.payload import JSON_OPTIONS
-from docpress.operators.layout import spread
-from docpress.plans.batch import choose_partitions
+from docpress.operators.layout import read_spread
 from docpress.scratch import scratch_path
 from docpress.sources.files import input_inventory, read_table
 
@@ -72,11 +71,8 @@ def scan_json_gz(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     path = scratch_path(spark, "landing")
     events.write.option("compression", "gzip").options(**JSON_OPTIONS).json(path)
-    inventory = input_inventory(spark, path).first()
-    landed = read_table(spark, path, schema=events.schema, **JSON_OPTIONS)
-    partitions = choose_partitions(inventory, spark.sparkContext.defaultParallelism)
-    rows = spread(landed, partitions) if partitions else landed
-    return rows.withColumn("ts", micros("ts"))
+    landed = read_spread(spark, path, schema=events.schema, **JSON_OPTIONS)
+    return landed.withColumn("ts", micros("ts"))
 
 
 @query("input_inventory")

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docpress.catalog.registry import (
-    AS_OF, DOCUMENT_PAYLOAD_SQL, SIZED_DOCUMENTS_SQL, query, sized_documents, table)
+    AS_OF, DOCUMENT_PAYLOAD_SQL, SIZED_DOCUMENTS_SQL, query, sized_documents, table, table_path)
 from docpress.functions.payload import row_json
 from docpress.functions.sizes import original_size
 from docpress.operators.documents import batch_documents, stamp
-from docpress.operators.layout import write_by_id_hash, write_by_metric
+from docpress.operators.layout import read_spread, write_by_id_hash, write_by_metric
 from docpress.operators.publish import publish_frames, with_positions
 from docpress.operators.ranked import metric_range
 from docpress.operators.sinks import append_documents
@@ -25,7 +25,7 @@ from docpress.sources.collection import read_collection
 """)
 def collection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "documents")
-    rows = stamp(table(spark, sf_dir, "documents"), AS_OF)
+    rows = stamp(read_spread(spark, table_path(sf_dir, "documents")), AS_OF)
     append_documents(batch_documents(rows, id_col="doc_id", as_of=AS_OF), path)
     return read_collection(spark, path).select("_id", "original_size", "metadata.algorithm")
 

@@ -1,10 +1,11 @@
 """DataFrame operators over rows, documents and collections."""
 
 from docpress.operators.documents import (
-    batch_documents, frame_documents, split_rejects, stamp, tag_batch)
+    batch_documents, classify_frames, frame_documents, split_rejects, stamp, tag_batch)
 from docpress.operators.gates import check, enforce
 from docpress.operators.layout import (
-    partitions_for_bytes, read_by_id, spread, write_by_id_hash, write_by_metric)
+    choose_partitions, partitions_for_bytes, read_by_id, read_spread, spread,
+    write_by_id_hash, write_by_metric)
 from docpress.operators.publish import publish_frames, with_positions
 from docpress.operators.ranked import metric_range, top_k
 from docpress.operators.sinks import append_documents, write_micro_batch
@@ -16,9 +17,9 @@ from docpress.operators.windows import (
 
 __all__ = [
     "UniqueAppend", "append_documents", "batch_documents", "batch_stats", "check",
-    "collection_stats", "documents_total", "enforce", "frame_documents", "metric_range",
+    "choose_partitions", "classify_frames", "collection_stats", "documents_total", "enforce", "frame_documents", "metric_range",
     "partitions_for_bytes", "processing_rate", "publish_frames", "ratio_by_window",
-    "ratio_count_summary", "read_by_id", "slide", "split_rejects", "spread", "stamp",
+    "ratio_count_summary", "read_by_id", "read_spread", "slide", "split_rejects", "spread", "stamp",
     "storage_stats", "tag_batch", "time_buckets", "top_k", "unique_append",
     "with_positions", "write_by_id_hash", "write_by_metric", "write_micro_batch",
 ]

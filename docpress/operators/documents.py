@@ -80,16 +80,22 @@ def frame_documents(frames: DataFrame, *, schema: T.StructType = SENSOR_SCHEMA,
     return stamp(with_ratio, as_of)
 
 
-def split_rejects(frames: DataFrame, schema: T.StructType = SENSOR_SCHEMA
-                  ) -> tuple[DataFrame, DataFrame]:
-    """(parsed, rejected) frames; rejected ones carry the text that did not fit.
+def classify_frames(frames: DataFrame, schema: T.StructType = SENSOR_SCHEMA) -> DataFrame:
+    """Parsed frames with ``corrupt_record``: the text that did not fit, or NULL.
 
-    A missing or empty value is not a reject: it parses to a NULL ``data``.
+    A missing or empty value is no misfit: it parses to a NULL ``data``. Each
+    text is parsed once; write this frame, or a part of it, in one pass.
     """
-    tried = decode_frames(frames).withColumn("data", corrupt_aware("raw_value", schema))
-    bad = F.col(f"data.{CORRUPT_FIELD}").isNotNull()
-    parsed = tried.where(~bad).select(
-        "key", "raw_value", F.col("data").dropFields(CORRUPT_FIELD).alias("data"), "timestamp")
-    rejected = tried.where(bad).select(
-        "key", "timestamp", F.col(f"data.{CORRUPT_FIELD}").alias("corrupt_record"))
-    return parsed, rejected
+    tried = decode_frames(frames).withColumn("parsed", corrupt_aware("raw_value", schema))
+    return tried.select(
+        "key", "raw_value", F.col("parsed").dropFields(CORRUPT_FIELD).alias("data"), "timestamp",
+        F.col(f"parsed.{CORRUPT_FIELD}").alias("corrupt_record"))
+
+
+def split_rejects(frames: DataFrame, schema: T.StructType = SENSOR_SCHEMA
+                  ) -> tuple[DataFrame, DataFrame]:
+    """(parsed, rejected) frames; each of the two parses its input anew."""
+    classified = classify_frames(frames, schema)
+    bad = F.col("corrupt_record").isNotNull()
+    return (classified.where(~bad).drop("corrupt_record"),
+            classified.where(bad).select("key", "timestamp", "corrupt_record"))

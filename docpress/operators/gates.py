@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from docpress.errors import QualityGateError
@@ -10,10 +10,14 @@ from docpress.errors import QualityGateError
 MIN_RATIO = 5.0
 
 
-def check(stats: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
-    """Add the verdicts to a statistics row; a NULL ratio does not pass."""
+def check(stats: DataFrame, min_ratio: float | Column = MIN_RATIO) -> DataFrame:
+    """Add the verdicts to statistics rows; a NULL ratio does not pass.
+
+    ``min_ratio`` may be a column, to judge each row by its own floor.
+    """
+    floor = min_ratio if isinstance(min_ratio, Column) else F.lit(float(min_ratio))
     has_documents = F.col("n_docs") > 0
-    ratio_ok = F.coalesce(F.col("avg_ratio") >= F.lit(float(min_ratio)), F.lit(False))
+    ratio_ok = F.coalesce(F.col("avg_ratio") >= floor, F.lit(False))
     return stats.select(
         "*",
         has_documents.alias("has_documents"),

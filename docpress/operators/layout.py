@@ -4,23 +4,59 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from docpress.sources.files import input_inventory, read_table
+
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 SHARD = "shard"
 
+# Tasks per core when the input is small: enough to even out long and short texts.
+TASKS_PER_CORE = 2
+# Expected growth of gzip input once it is read.
+GZIP_EXPANSION = 10
+# Beyond this many shuffle partitions the bookkeeping costs more than it gains.
+MAX_PARTITIONS = 50_000
+
 
 def partitions_for_bytes(n_bytes: int, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
     """Number of partitions of about ``target_bytes`` each, at least one."""
     return max(1, math.ceil(n_bytes / target_bytes))
 
 
+def choose_partitions(inventory: Row, cores: int,
+                      target_bytes: int = TARGET_PARTITION_BYTES) -> int | None:
+    """Tasks to spread the rows over before compressing; None to keep the scan's.
+
+    Compression streams row by row, so a task may be large; what counts is that
+    every core has work. A scan with enough tasks is left alone: shuffling would
+    only move the whole input. The shuffle pays where the scan has fewer tasks
+    than the cluster has use for, or where one gzip file, which no second task
+    can read, outweighs a core's fair share.
+    """
+    enough = cores * TASKS_PER_CORE
+    narrow = inventory["scan_splits"] < enough
+    lopsided = inventory["largest_gzip"] > max(target_bytes, inventory["n_bytes"] / cores)
+    if not (narrow or lopsided):
+        return None
+    text_bytes = inventory["n_bytes"] + inventory["gzip_bytes"] * (GZIP_EXPANSION - 1)
+    return min(max(partitions_for_bytes(text_bytes, target_bytes), enough), MAX_PARTITIONS)
+
+
 def spread(df: DataFrame, partitions: int) -> DataFrame:
     """Round-robin over ``partitions`` tasks, whatever the rows hold."""
     return df.repartition(partitions)
 
 
+def read_spread(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """Read a dataset for CPU-heavy work, spread only where its scan is too narrow."""
+    inventory = input_inventory(spark, path).first()
+    partitions = choose_partitions(inventory, spark.sparkContext.defaultParallelism)
+    rows = read_table(spark, path, **options)
+    return spread(rows, partitions) if partitions else rows
+
+
 def write_by_metric(documents: DataFrame, path: str, metric: str, *, partitions: int,
                     id_col: str = "_id", mode: str = "overwrite") -> None:
     """Rewrite a collection in descending order of ``metric``.
@@ -40,7 +76,7 @@ def write_by_metric(documents: DataFrame, path: str, metric: str, *, partitions:
      .write.mode(mode).parquet(path))
 
 
-def _shard_of(column, shards: int):
+def _shard_of(column: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(shards)).cast("int")
 
 

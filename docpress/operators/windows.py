@@ -92,6 +92,8 @@ def documents_total(documents: DataFrame, *, width: int = RATE_WINDOW_SECONDS,
     days = (counts.groupBy("_day").agg(F.sum("n_docs").alias("_n"))
             .select("_day", F.coalesce(F.sum("_n").over(earlier_days), F.lit(0)).alias("_before")))
     within_day = Window.partitionBy("_day").orderBy("window_start")
-    return counts.join(days, "_day").select(
+    # A left join leaves both sides with the same plan below, so the counts are
+    # computed once and their shuffle is reused.
+    return counts.join(days, "_day", "left").select(
         "window_start", "n_docs",
         (F.col("_before") + F.sum("n_docs").over(within_day)).alias("total_docs"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from docpress.functions.codec import DEFAULT_LEVEL, check_level
 from docpress.operators.documents import batch_documents, stamp
-from docpress.operators.layout import TARGET_PARTITION_BYTES, partitions_for_bytes, spread
+from docpress.operators.layout import choose_partitions, spread
 from docpress.operators.sinks import append_documents
 from docpress.operators.stats import collection_stats, stats_columns
 from docpress.operators.unique import unique_append
@@ -20,12 +20,6 @@ from docpress.sources.files import input_inventory, read_table
 
 logger = logging.getLogger(__name__)
 
-# Tasks per core when the input is small: enough to even out long and short texts.
-TASKS_PER_CORE = 2
-# Expected growth of gzip input once it is read.
-GZIP_EXPANSION = 10
-
-
 @dataclass(frozen=True)
 class BatchRun:
     """What one run read and wrote, and the collection's statistics after it."""
@@ -36,19 +30,6 @@ class BatchRun:
     collection: DataFrame
 
 
-def choose_partitions(inventory: Row, cores: int,
-                      target_bytes: int = TARGET_PARTITION_BYTES) -> int | None:
-    """Tasks to spread the rows over before compressing; None to keep the scan's.
-
-    A scan of large splittable files already has one task per 128 MB, so
-    shuffling it would only move the whole input. The shuffle pays where the
-    scan has too few tasks: gzip files, or input smaller than the cluster.
-    """
-    text_bytes = inventory["n_bytes"] + inventory["gzip_bytes"] * (GZIP_EXPANSION - 1)
-    wanted = max(partitions_for_bytes(text_bytes, target_bytes), cores * TASKS_PER_CORE)
-    return wanted if inventory["scan_splits"] < wanted else None
-
-
 def documents_of(df: DataFrame, *, level: int = DEFAULT_LEVEL, id_col: str | None = "id",
                  partitions: int | None = None, as_of: datetime | str | None = None) -> DataFrame:
     """The job's transformation: spread, stamp, render, compress."""

@@ -24,7 +24,7 @@ def input_inventory(spark: SparkSession, path: str) -> DataFrame:
     """One row: how many files lie under ``path`` and how large they are.
 
     ``scan_splits`` is the number of tasks a scan can use at 128 MB each; a gzip
-    file can only be read by one.
+    file can only be read by one, so the largest of them is reported too.
     """
     split_bytes = 128 * 1024 * 1024
     gzipped = F.col("path").endswith(".gz")
@@ -33,6 +33,7 @@ def input_inventory(spark: SparkSession, path: str) -> DataFrame:
         F.count("*").alias("n_files"),
         F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"),
         F.coalesce(F.sum(F.when(gzipped, F.col("length"))), F.lit(0)).alias("gzip_bytes"),
+        F.coalesce(F.max(F.when(gzipped, F.col("length"))), F.lit(0)).alias("largest_gzip"),
         F.coalesce(F.sum(splits), F.lit(0)).cast("bigint").alias("scan_splits"),
     )
 

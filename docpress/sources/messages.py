@@ -17,15 +17,22 @@ FRAME_SCHEMA = T.StructType([
 
 def message_options(servers: str = DEFAULT_SERVERS, topic: str = DEFAULT_TOPIC, *,
                     starting_offsets: str = "earliest", max_offsets_per_trigger: int = 1_000_000,
-                    fail_on_data_loss: bool = False) -> dict[str, str]:
-    """Options of Spark's Kafka source; the cap bounds one micro-batch."""
-    return {
+                    fail_on_data_loss: bool = False,
+                    min_partitions: int | None = None) -> dict[str, str]:
+    """Options of Spark's Kafka source; the cap bounds one micro-batch.
+
+    ``min_partitions`` lets more tasks than the topic has partitions read it.
+    """
+    options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": starting_offsets,
         "maxOffsetsPerTrigger": str(max_offsets_per_trigger),
         "failOnDataLoss": str(fail_on_data_loss).lower(),
     }
+    if min_partitions:
+        options["minPartitions"] = str(min_partitions)
+    return options
 
 
 def message_stream(spark: SparkSession, servers: str = DEFAULT_SERVERS,

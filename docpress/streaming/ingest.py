@@ -13,6 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from docpress.functions.codec import DEFAULT_LEVEL, check_level
 from docpress.functions.parsing import SENSOR_SCHEMA
 from docpress.operators.documents import frame_documents, tag_batch
+from docpress.operators.layout import spread
 from docpress.operators.sinks import write_micro_batch
 from docpress.operators.stats import stats_columns
 
@@ -36,21 +37,25 @@ def triggered(writer: DataStreamWriter, available_now: bool, seconds: int) -> Da
 
 def start_ingest(frames: DataFrame, path: str, checkpoint: str, *,
                  schema: T.StructType = SENSOR_SCHEMA, level: int = DEFAULT_LEVEL,
-                 size_unit: str = "bytes", trigger_seconds: int = TRIGGER_SECONDS,
-                 available_now: bool = False, as_of: datetime | str | None = None,
-                 on_batch: BatchListener = log_batch) -> StreamingQuery:
+                 size_unit: str = "bytes", partitions: int | None = None, trigger_seconds: int = TRIGGER_SECONDS,
+                 available_now: bool = False,
+                 as_of: datetime | str | None = None, on_batch: BatchListener = log_batch) -> StreamingQuery:
     """Compress and store every micro-batch, and report its statistics.
 
     The statistics are observed while the batch is written, in the task that
     writes it, so the source is read and each text compressed once. A batch
     replayed after a failure replaces what it wrote before.
+
+    ``partitions`` spreads each micro-batch before the CPU-heavy step; leave it
+    unset where the source already has a partition per core.
     """
     check_level(level)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        rows = spread(batch, partitions) if partitions else batch
         documents = tag_batch(
-            frame_documents(batch, schema=schema, level=level, size_unit=size_unit, as_of=as_of),
+            frame_documents(rows, schema=schema, level=level, size_unit=size_unit, as_of=as_of),
             batch_id)
         seen = Observation()
         write_micro_batch(documents.observe(seen, *stats_columns()), path, query_id)
