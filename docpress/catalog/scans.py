@@ -77,4 +77,4 @@ def scan_json_gz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("input_inventory")
 def inventory_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return input_inventory(spark, table_path(sf_dir, "documents"))
+    return input_inventory(spark, table_path(sf_dir, "documents")).select("n_files", "n_bytes")

@@ -11,6 +11,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ALGORITHM = "zlib"
 MIN_LEVEL, MAX_LEVEL, DEFAULT_LEVEL = 1, 9, 9
@@ -23,7 +24,7 @@ def check_level(level: int) -> int:
 
 
 def _compressor(level: int):
-    @F.arrow_udf("binary")
+    @F.arrow_udf(T.BinaryType())
     def zlib_compress(texts: pa.Array) -> pa.Array:
         # A string array is UTF-8 already: view it as bytes, do not re-encode.
         return pa.array(
@@ -36,7 +37,7 @@ def _compressor(level: int):
 
 
 def _decompressor():
-    @F.arrow_udf("binary")
+    @F.arrow_udf(T.BinaryType())
     def zlib_decompress(blobs: pa.Array) -> pa.Array:
         return pa.array(
             [zlib.decompress(raw) if raw is not None else None for raw in blobs.to_pylist()],

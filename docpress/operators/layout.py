@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from docpress.sources.files import input_inventory, read_table
+from docpress.sources.files import detect_format, input_inventory, read_table
 
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 SHARD = "shard"
@@ -53,6 +53,8 @@ def read_spread(spark: SparkSession, path: str, **options: object) -> DataFrame:
     """Read a dataset for CPU-heavy work, spread only where its scan is too narrow."""
     inventory = input_inventory(spark, path).first()
     partitions = choose_partitions(inventory, spark.sparkContext.defaultParallelism)
+    if "format" not in options:
+        options["format"] = detect_format(spark, path, inventory)
     rows = read_table(spark, path, **options)
     return spread(rows, partitions) if partitions else rows
 

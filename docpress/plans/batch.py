@@ -16,7 +16,7 @@ from docpress.operators.sinks import append_documents
 from docpress.operators.stats import collection_stats, stats_columns
 from docpress.operators.unique import unique_append
 from docpress.sources.collection import read_collection
-from docpress.sources.files import input_inventory, read_table
+from docpress.sources.files import detect_format, input_inventory, read_table
 
 logger = logging.getLogger(__name__)
 
@@ -53,7 +53,8 @@ def run_batch(spark: SparkSession, input_path: str, output_path: str, *,
     inventory = input_inventory(spark, input_path).first()
     if partitions is None:
         partitions = choose_partitions(inventory, spark.sparkContext.defaultParallelism)
-    rows = read_table(spark, input_path, format=format, schema=schema)
+    rows = read_table(spark, input_path, schema=schema,
+                      format=format or detect_format(spark, input_path, inventory))
     documents = documents_of(rows, level=compression_level, id_col=id_col,
                              partitions=partitions, as_of=as_of)
     if unique_ids:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,7 @@ def input_inventory(spark: SparkSession, path: str) -> DataFrame:
     """
     split_bytes = 128 * 1024 * 1024
     gzipped = F.col("path").endswith(".gz")
+    suffix = F.regexp_extract(F.lower("path"), _SUFFIX, 1)
     splits = F.when(gzipped, 1).otherwise(F.greatest(F.ceil(F.col("length") / split_bytes), F.lit(1)))
     return _listing(spark, path).agg(
         F.count("*").alias("n_files"),
@@ -35,24 +36,24 @@ def input_inventory(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(F.sum(F.when(gzipped, F.col("length"))), F.lit(0)).alias("gzip_bytes"),
         F.coalesce(F.max(F.when(gzipped, F.col("length"))), F.lit(0)).alias("largest_gzip"),
         F.coalesce(F.sum(splits), F.lit(0)).cast("bigint").alias("scan_splits"),
+        # At most one entry per known format.
+        F.sort_array(F.collect_set(F.nullif(suffix, F.lit("")))).alias("formats"),
     )
 
 
-def detect_format(spark: SparkSession, path: str) -> str:
+def detect_format(spark: SparkSession, path: str, inventory: Row | None = None) -> str:
     """Reader format from the path's suffix, else from the files inside it.
 
-    A folder whose files carry no known suffix is taken as Parquet.
+    A folder whose files carry no known suffix is taken as Parquet. Pass the
+    folder's inventory, if there is one, to save listing it again.
     """
     name = path.rstrip("/").lower().removesuffix(".gz")
     suffix = name.rsplit(".", 1)[-1]
     if suffix in FORMATS:
         return FORMATS[suffix]
-    found = [row[0] for row in (
-        _listing(spark, path)
-        .select(F.regexp_extract(F.lower("path"), _SUFFIX, 1).alias("suffix"))
-        .where("suffix <> ''").distinct().collect())]
+    found = (inventory or input_inventory(spark, path).first())["formats"]
     if len(found) > 1:
-        raise ValueError(f"{path} mixes {sorted(found)} files; pass format=")
+        raise ValueError(f"{path} mixes {found} files; pass format=")
     return FORMATS[found[0]] if found else "parquet"
 
 
