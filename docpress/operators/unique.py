@@ -37,13 +37,11 @@ def split_by_key(documents: DataFrame, existing: DataFrame, *, key: str = "_id",
        read of them agree even when executors are lost;
     2. one grouping by key over narrow columns, combined before the shuffle,
        finds the first row number and whether the key is taken;
-    3. rows meet the winning numbers on the row number, which is unique on both
-       sides.
+    3. rows meet row numbers, which are unique on both sides: those of the winners
+       or those of the losers, whichever are fewer. When the fewer are few enough
+       for Spark's own broadcast limit, the wide rows are not shuffled at all.
     """
-    spark = documents.sparkSession
-    staged_path = scratch_path(spark, "staged")
-    documents.withColumn(_ROW, F.monotonically_increasing_id()).write.parquet(staged_path)
-    staged = spark.read.parquet(staged_path)
+    staged = _stored(documents.withColumn(_ROW, F.monotonically_increasing_id()), "staged")
 
     # A plain number keeps the aggregate hash-based; a struct makes it sort.
     rank = F.struct(*order_by, _ROW) if order_by else F.col(_ROW)
@@ -54,15 +52,21 @@ def split_by_key(documents: DataFrame, existing: DataFrame, *, key: str = "_id",
     first = (offered.union(held).groupBy(key)
              .agg(F.min("rank").alias("rank"), F.max("taken").alias("taken"))
              .where(~F.col("taken")))
-    winners_path = scratch_path(spark, "winners")
-    (first.select(F.col(f"rank.{_ROW}" if order_by else "rank").alias(_ROW))
-     .write.parquet(winners_path))
-    winners = spark.read.parquet(winners_path)
-
-    return UniqueAppend(
-        accepted=staged.join(winners, _ROW, "left_semi").drop(_ROW),
-        rejected=staged.join(winners, _ROW, "left_anti").drop(_ROW),
-    )
+    winners = _stored(first.select(F.col(f"rank.{_ROW}" if order_by else "rank").alias(_ROW)),
+                      "winners")
+    if 2 * winners.count() <= staged.count():
+        landed, refused = (staged.join(winners, _ROW, how) for how in ("left_semi", "left_anti"))
+    else:
+        losers = _stored(staged.select(_ROW).join(winners, _ROW, "left_anti"), "losers")
+        landed, refused = (staged.join(losers, _ROW, how) for how in ("left_anti", "left_semi"))
+    return UniqueAppend(accepted=landed.drop(_ROW), rejected=refused.drop(_ROW))
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame written to the shared scratch folder and read back."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def unique_append(documents: DataFrame, path: str, *, key: str = "_id",

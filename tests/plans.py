@@ -9,7 +9,5 @@ def physical(df) -> str:
 
 def final(df) -> str:
     """The plan as it ran, AQE decisions included."""
-    df._jdf.queryExecution().executedPlan()
-    df.write.format("noop").mode("overwrite").save()
     df.collect()
     return physical(df)

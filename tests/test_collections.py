@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,7 +91,18 @@ def test_a_key_with_a_third_of_all_rows(spark):
     assert split.rejected.count() == 3000
     for part in (split.accepted, split.rejected):
         plan = physical(part)
-        assert "Window" not in plan and "_id" not in plan.split("Exchange")[0].split("Join")[1][:40]
+        assert "Window" not in plan
+        assert re.findall(r"(\w+Join) \[(\w+)#", plan) == [("BroadcastHashJoin", "_staged_row")]
+
+
+@pytest.mark.parametrize("copies, fewer", [(1, "losers"), (5, "winners")])
+def test_rows_meet_the_smaller_set_of_row_numbers(spark, copies, fewer):
+    rows = spark.range(100).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(copies)))) \
+        .select(F.col("id").cast("string").alias("_id"), F.col("n").cast("bigint").alias("seq"))
+    split = split_by_key(rows, keyed(spark, [("7", 0)]), order_by=["seq"])
+    assert f"/{fewer}-" in physical(split.accepted)
+    assert (split.accepted.count(), split.rejected.count()) == (99, 100 * copies - 99)
+    assert split.accepted.where("seq <> 1").count() == 0
 
 
 def test_replayed_batch_replaces_itself(spark, at):
