@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docpress.catalog.registry import (
-    SIZED_EVENTS_SQL, event_stream, query, seconds, sized_events, table)
+    SIZED_EVENTS_SQL, event_stream, query, seconds, six_digits, six_digits_sql, sized_events, table)
 from docpress.operators import windows as W
 from docpress.scratch import scratch_path
 from docpress.streaming.rates import start_rates
@@ -17,7 +16,7 @@ DAY = 24 * 3600
 _SLIDING_SQL = f"""
     select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, count(*) as n_docs,
            sum(original_size)::bigint as n_bytes, sum(original_size)::double / 300.0 as bytes_per_sec,
-           round(avg(compression_ratio), 6) as avg_ratio
+           {six_digits_sql("avg(compression_ratio)")} as avg_ratio
     from (select original_size, compression_ratio,
                  unnest(range(time_bucket(interval '30 seconds', ts) - interval '270 seconds',
                               time_bucket(interval '30 seconds', ts) + interval '30 seconds',
@@ -32,7 +31,7 @@ def _tumbling_sql(interval: str, width: int) -> str:
         select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, count(*) as n_docs,
                sum(original_size)::bigint as n_bytes,
                sum(original_size)::double / {float(width)} as bytes_per_sec,
-               round(avg(compression_ratio), 6) as avg_ratio
+               {six_digits_sql("avg(compression_ratio)")} as avg_ratio
         from (select time_bucket(interval '{interval}', ts) as w, * from ({SIZED_EVENTS_SQL}))
         group by w
     """
@@ -41,7 +40,7 @@ def _tumbling_sql(interval: str, width: int) -> str:
 def _shown(rates: DataFrame) -> DataFrame:
     return rates.select(
         seconds("window_start").alias("window_start"), "n_docs", "n_bytes", "bytes_per_sec",
-        F.round("avg_ratio", 6).alias("avg_ratio"))
+        six_digits("avg_ratio").alias("avg_ratio"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +63,7 @@ def processing_rate_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratio_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.ratio_by_window(_events(spark, sf_dir)).select(
         seconds("window_start").alias("window_start"),
-        F.round("avg_ratio", 6).alias("avg_ratio"), "n_docs")
+        six_digits("avg_ratio").alias("avg_ratio"), "n_docs")
 
 
 @query("documents_total", """
