@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from docpress.functions.payload import row_json
 from docpress.scratch import scratch_path
 
+_TIE = "_tie"
+
 
 def with_positions(df: DataFrame, order_by: Sequence[str], name: str = "position") -> DataFrame:
     """Number the rows 0, 1, 2, … in the order of ``order_by``.
@@ -18,12 +20,16 @@ def with_positions(df: DataFrame, order_by: Sequence[str], name: str = "position
     A single global window would pull every row into one task. Here the rows are
     sorted by range into files, each file's rows are numbered where they lie and
     shifted by the sizes of the files before it. The only un-partitioned window
-    runs over one row per written file.
+    runs over one row per written file. Rows that tie keep their input order, and
+    however many tie they still split over several ranges.
+
+    The input must be repeatable, such as a stored table.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "positions")
     # One file per sort range; its name starts with the number of the range.
-    df.orderBy(*order_by).write.option("maxRecordsPerFile", 0).parquet(path)
+    (df.withColumn(_TIE, F.monotonically_increasing_id()).orderBy(*order_by, _TIE).drop(_TIE)
+     .write.option("maxRecordsPerFile", 0).parquet(path))
     stored = spark.read.parquet(path).select(
         "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
     files = stored.groupBy("_file").agg(F.count("*").alias("_rows"))
@@ -55,3 +61,13 @@ def publish_frames(records: DataFrame, *, key_col: str = "sensor_id",
         F.coalesce(key, default).cast("binary").alias("key"),
         value.cast("binary").alias("value"),
     )
+
+
+def publish_options(servers: str, topic: str) -> dict[str, str]:
+    """Options of Spark's Kafka sink: compressed, and acknowledged by all replicas."""
+    return {
+        "kafka.bootstrap.servers": servers,
+        "topic": topic,
+        "kafka.compression.type": "gzip",
+        "kafka.acks": "all",
+    }

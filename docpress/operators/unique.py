@@ -15,6 +15,11 @@ from docpress.sources.collection import read_collection
 
 _ROW = "_staged_row"
 
+# The new keys are broadcast against the collection only up to this size, counting
+# what a hash table needs for each key beside its bytes.
+BROADCAST_BYTES = 64 * 1024 * 1024
+KEY_OVERHEAD_BYTES = 64
+
 
 @dataclass(frozen=True)
 class UniqueAppend:
@@ -36,7 +41,8 @@ def split_by_key(documents: DataFrame, existing: DataFrame, *, key: str = "_id",
     1. the rows are written once with a row number, which makes every later
        read of them agree even when executors are lost;
     2. one grouping by key over narrow columns, combined before the shuffle,
-       finds the first row number and whether the key is taken;
+       finds the first row number and whether the key is taken. If the new keys
+       are few, only those keys of ``existing`` that match one take part;
     3. rows meet row numbers, which are unique on both sides: those of the winners
        or those of the losers, whichever are fewer. When the fewer are few enough
        for Spark's own broadcast limit, the wide rows are not shuffled at all.
@@ -46,8 +52,8 @@ def split_by_key(documents: DataFrame, existing: DataFrame, *, key: str = "_id",
     # A plain number keeps the aggregate hash-based; a struct makes it sort.
     rank = F.struct(*order_by, _ROW) if order_by else F.col(_ROW)
     offered = staged.select(key, rank.alias("rank"), F.lit(False).alias("taken"))
-    held = existing.select(
-        F.col(key), F.lit(None).cast(offered.schema["rank"].dataType).alias("rank"),
+    held = _relevant(existing.select(key), staged.select(key), key).select(
+        key, F.lit(None).cast(offered.schema["rank"].dataType).alias("rank"),
         F.lit(True).alias("taken"))
     first = (offered.union(held).groupBy(key)
              .agg(F.min("rank").alias("rank"), F.max("taken").alias("taken"))
@@ -62,6 +68,16 @@ def split_by_key(documents: DataFrame, existing: DataFrame, *, key: str = "_id",
     return UniqueAppend(accepted=landed.drop(_ROW), rejected=refused.drop(_ROW))
 
 
+def _relevant(held: DataFrame, offered: DataFrame, key: str) -> DataFrame:
+    """The held keys that some offered row has, if telling so needs no shuffle."""
+    needed = F.octet_length(F.col(key).cast("string")) + KEY_OVERHEAD_BYTES
+    size = offered.agg(F.sum(F.coalesce(needed, F.lit(KEY_OVERHEAD_BYTES)))).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        return held
+    keys = offered.distinct().withColumnRenamed(key, "offered_key")
+    return held.join(F.broadcast(keys), F.col(key).eqNullSafe(F.col("offered_key")), "left_semi")
+
+
 def _stored(df: DataFrame, label: str) -> DataFrame:
     """The frame written to the shared scratch folder and read back."""
     path = scratch_path(df.sparkSession, label)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -12,6 +13,11 @@ from docpress.errors import ScratchLocationError
 SETTING = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="docpress-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder named in ``spark.checkpoint.dir``.
 
@@ -22,6 +28,5 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ScratchLocationError(f"set {SETTING} to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="docpress-")
-        spark.conf.set(SETTING, base)
+        base = _own_folder()
     return f"{base.rstrip('/')}/docpress/{label}-{uuid.uuid4().hex}"

@@ -14,6 +14,7 @@ from docpress.operators.ranked import metric_range, top_k
 from docpress.operators.sinks import append_documents, document_store_options, write_micro_batch
 from docpress.operators.stats import (
     batch_stats, collection_stats, logical_size, ratio_count_summary, storage_stats)
+import docpress.operators.unique as unique
 from docpress.operators.unique import split_by_key, unique_append
 from tests.plans import physical
 
@@ -105,6 +106,18 @@ def test_rows_meet_the_smaller_set_of_row_numbers(spark, copies, fewer):
     assert split.accepted.where("seq <> 1").count() == 0
 
 
+@pytest.mark.parametrize("limit, join", [(unique.BROADCAST_BYTES, True), (0, False)])
+def test_few_new_keys_spare_the_collection_a_shuffle(spark, monkeypatch, limit, join):
+    monkeypatch.setattr(unique, "BROADCAST_BYTES", limit)
+    held = keyed(spark, [(str(i), 0) for i in range(100)] + [(None, 0)])
+    rows = keyed(spark, [("7", 1), ("new", 2), ("new", 3), (None, 4)])
+    plan = physical(unique._relevant(held.select("_id"), rows.select("_id"), "_id"))
+    assert ("LeftSemi, BuildRight" in plan) is join
+    split = split_by_key(rows, held, order_by=["seq"])
+    assert split.accepted.collect() == [("new", 2)]
+    assert sorted(r["seq"] for r in split.rejected.collect()) == [1, 3, 4]
+
+
 def test_replayed_batch_replaces_itself(spark, at):
     first = keyed(spark, [("a", 1), ("b", 2)]).withColumn("batch_id", F.lit(0))
     other = keyed(spark, [("c", 3)]).withColumn("batch_id", F.lit(1))

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from docpress.operators.documents import frame_documents
-from docpress.operators.publish import publish_frames, with_positions
+import docpress.operators.publish as publish
+from docpress.operators.publish import publish_frames, publish_options, with_positions
 
 
 def test_positions_follow_the_order(spark):
@@ -20,6 +22,32 @@ def test_positions_with_a_common_order_value_are_still_unique(spark):
     assert sorted(r["position"] for r in with_positions(rows, ["same"]).collect()) == list(range(300))
 
 
+@pytest.fixture
+def many_ranges(spark, monkeypatch, at):
+    """Keep every sort range, however small, and put the sorted files in sight."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    monkeypatch.setattr(publish, "scratch_path", lambda _, label: at(label))
+    spark.conf.set(name, "false")
+    yield at("positions")
+    spark.conf.set(name, "true")
+
+
+def test_positions_run_on_across_files(spark, many_ranges):
+    rows = spark.range(1000).select(F.xxhash64("id").alias("h"), "id")
+    found = with_positions(rows, ["h"]).orderBy("position").collect()
+    assert spark.read.parquet(many_ranges).select("_metadata.file_name").distinct().count() > 1
+    assert [r["position"] for r in found] == list(range(1000))
+    assert [r["h"] for r in found] == sorted(r["h"] for r in found)
+
+
+def test_a_common_order_value_splits_over_ranges(spark, many_ranges, at):
+    spark.range(4000).select(F.lit(1).alias("same"), "id").repartition(4).write.parquet(at("in"))
+    numbered = with_positions(spark.read.parquet(at("in")), ["same"])
+    assert sorted(r["position"] for r in numbered.collect()) == list(range(4000))
+    per_file = spark.read.parquet(many_ranges).groupBy("_metadata.file_name").count().collect()
+    assert len(per_file) > 1 and max(r["count"] for r in per_file) < 2000
+
+
 def test_positions_of_no_rows(spark):
     assert with_positions(spark.range(0), ["id"]).count() == 0
 
@@ -41,3 +69,9 @@ def test_published_frames_can_be_ingested(spark):
     records = spark.createDataFrame([("s1", 21.5, 0)], "sensor_id string, temperature double, position int")
     frames = publish_frames(records).withColumn("timestamp", F.current_timestamp())
     assert tuple(frame_documents(frames).select("key", "data.temperature").first()) == ("s1", 21.5)
+
+
+def test_publish_options():
+    assert publish_options("b:1", "t") == {
+        "kafka.bootstrap.servers": "b:1", "topic": "t",
+        "kafka.compression.type": "gzip", "kafka.acks": "all"}

@@ -129,13 +129,22 @@ def test_scratch_lies_in_the_shared_folder(spark):
     assert first != second and first.startswith(base)
 
 
-def test_scratch_on_a_cluster_needs_the_shared_folder():
-    class Cluster:
+def session_without_setting(master_url):
+    class Session:
         class conf:
             get = staticmethod(lambda key, default: default)
 
         class sparkContext:
-            master = "k8s://host"
+            master = master_url
+
+    return Session
+
 
+def test_scratch_on_a_cluster_needs_the_shared_folder():
     with pytest.raises(ScratchLocationError, match="spark.checkpoint.dir"):
-        scratch_path(Cluster, "x")
+        scratch_path(session_without_setting("k8s://host"), "x")
+
+
+def test_local_session_without_the_setting_has_a_folder_of_its_own():
+    first, second = (scratch_path(session_without_setting("local[2]"), "x") for _ in range(2))
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
