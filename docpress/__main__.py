@@ -10,6 +10,7 @@ import logging
 
 from docpress.functions.codec import DEFAULT_LEVEL
 from docpress.operators.gates import MIN_RATIO
+from docpress.operators.sinks import FILE_FORMATS, insert_options
 from docpress.plans.batch import run_batch
 from docpress.plans.daily import checked_run
 from docpress.plans.stream import run_stream
@@ -23,7 +24,11 @@ def parser() -> argparse.ArgumentParser:
 
     batch = commands.add_parser("batch", help="compress a dataset into a collection")
     batch.add_argument("--input-path", required=True)
-    batch.add_argument("--output-path", required=True)
+    batch.add_argument("--output-path", help="not needed by a store that takes its target as options")
+    batch.add_argument("--output-format", default="parquet")
+    batch.add_argument("--output-option", action="append", default=[], metavar="KEY=VALUE")
+    batch.add_argument("--batch-size", type=int, default=1000,
+                       help="documents per insert of a document store; files need none")
     batch.add_argument("--compression-level", type=int, default=DEFAULT_LEVEL)
     batch.add_argument("--partitions", type=int, help="default: follows the input's size")
     batch.add_argument("--max-records-per-file", type=int)
@@ -40,6 +45,13 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def output_options(args: argparse.Namespace) -> dict[str, str]:
+    given = dict(option.split("=", 1) for option in args.output_option)
+    if args.output_format in FILE_FORMATS:
+        return given
+    return {**insert_options(args.batch_size), **given}
+
+
 def main(arguments: list[str] | None = None) -> None:
     args = parser().parse_args(arguments)
     logging.basicConfig(level=logging.INFO)
@@ -51,7 +63,8 @@ def main(arguments: list[str] | None = None) -> None:
     options = {
         "compression_level": args.compression_level, "partitions": args.partitions,
         "max_records_per_file": args.max_records_per_file, "id_col": args.id_col,
-        "unique_ids": args.unique_ids,
+        "unique_ids": args.unique_ids, "output_format": args.output_format,
+        "output_options": output_options(args),
     }
     if args.check:
         checked_run(spark, args.input_path, args.output_path, min_ratio=args.min_ratio, **options)

@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+FILE_FORMATS = ("parquet", "orc", "json")
+
+
+def insert_options(batch_size: int = 1000) -> dict[str, str]:
+    """How a document-store connector inserts: unordered, ``batch_size`` at a time."""
+    return {"maxBatchSize": str(batch_size), "ordered": "false"}
+
+
 def document_store_options(database: str, collection: str, batch_size: int = 1000) -> dict[str, str]:
-    """Options for a document-store connector: unordered inserts of ``batch_size``."""
-    return {
-        "database": database,
-        "collection": collection,
-        "maxBatchSize": str(batch_size),
-        "ordered": "false",
-    }
+    """Target and insert options for a document-store connector."""
+    return {"database": database, "collection": collection, **insert_options(batch_size)}
 
 
 def append_documents(documents: DataFrame, path: str | None, *, format: str = "parquet",

@@ -60,7 +60,10 @@ def split_by_key(documents: DataFrame, existing: DataFrame, *, key: str = "_id",
              .where(~F.col("taken")))
     winners = _stored(first.select(F.col(f"rank.{_ROW}" if order_by else "rank").alias(_ROW)),
                       "winners")
-    if 2 * winners.count() <= staged.count():
+    n_winners, n_rows = winners.count(), staged.count()
+    if n_winners == n_rows:
+        landed, refused = staged, staged.where(F.lit(False))
+    elif 2 * n_winners <= n_rows:
         landed, refused = (staged.join(winners, _ROW, how) for how in ("left_semi", "left_anti"))
     else:
         losers = _stored(staged.select(_ROW).join(winners, _ROW, "left_anti"), "losers")

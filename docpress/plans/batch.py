@@ -37,19 +37,24 @@ def documents_of(df: DataFrame, *, level: int = DEFAULT_LEVEL, id_col: str | Non
     return batch_documents(stamp(rows, as_of), level=level, id_col=id_col, as_of=as_of)
 
 
-def run_batch(spark: SparkSession, input_path: str, output_path: str, *,
+def run_batch(spark: SparkSession, input_path: str, output_path: str | None, *,
               compression_level: int = DEFAULT_LEVEL, partitions: int | None = None,
               max_records_per_file: int | None = None, id_col: str | None = "id",
               unique_ids: bool = False, format: str | None = None,
-              schema: T.StructType | str | None = None,
-              as_of: datetime | str | None = None) -> BatchRun:
+              schema: T.StructType | str | None = None, as_of: datetime | str | None = None,
+              output_format: str = "parquet",
+              output_options: dict[str, str] | None = None) -> BatchRun:
     """Read ``input_path``, append its documents to ``output_path``, report.
 
     ``partitions`` fixes the number of compressing tasks; by default it follows
     the input's size. ``unique_ids`` rejects documents whose id is already taken
-    instead of storing them again.
+    instead of storing them again. ``output_format`` names another file format,
+    or a store whose connector is on the class path and takes ``output_options``.
     """
     check_level(compression_level)
+    if unique_ids and output_format != "parquet":
+        raise ValueError("unique_ids needs a Parquet collection; a store checks its own keys")
+    options = output_options or {}
     inventory = input_inventory(spark, input_path).first()
     if partitions is None:
         partitions = choose_partitions(inventory, spark.sparkContext.defaultParallelism)
@@ -63,8 +68,10 @@ def run_batch(spark: SparkSession, input_path: str, output_path: str, *,
     else:
         seen = Observation()
         append_documents(documents.observe(seen, *stats_columns()), output_path,
-                         max_records_per_file=max_records_per_file)
+                         format=output_format, max_records_per_file=max_records_per_file,
+                         **options)
         written = seen.get
     logger.info("stored %s documents in %s", written["n_docs"], output_path)
     return BatchRun(inventory, partitions, written,
-                    collection_stats(read_collection(spark, output_path)))
+                    collection_stats(read_collection(spark, output_path, format=output_format,
+                                                     **options)))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 _ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
-def read_collection(spark: SparkSession, path: str, *, format: str = "parquet",
+def read_collection(spark: SparkSession, path: str | None, *, format: str = "parquet",
                     schema: T.StructType | None = None, **options: object) -> DataFrame:
     """Documents of a collection; a query reads only the columns it names.
 

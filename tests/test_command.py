@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from docpress.__main__ import main, parser
+from docpress.__main__ import main, output_options, parser
 from docpress.errors import QualityGateError
 
 
@@ -14,6 +14,14 @@ def test_defaults():
         "kafka:9092", "data-feed", "/checkpoint")
 
 
+def test_batch_size_is_for_document_stores():
+    batch = ["batch", "--input-path", "in"]
+    store = ["--output-format", "mongodb", "--output-option", "database=db", "--batch-size", "50"]
+    assert output_options(parser().parse_args(batch)) == {}
+    assert output_options(parser().parse_args(batch + store)) == {
+        "database": "db", "maxBatchSize": "50", "ordered": "false"}
+
+
 def test_input_is_required():
     with pytest.raises(SystemExit):
         parser().parse_args(["batch", "--output-path", "out"])

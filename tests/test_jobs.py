@@ -53,6 +53,14 @@ def test_batch_job_can_refuse_taken_ids(spark, landing, at):
     assert again.written["n_docs"] == 0 and again.collection.first()["n_docs"] == 50
 
 
+def test_batch_job_writes_other_formats(spark, sensors, at):
+    run = run_batch(spark, sensors, at("out"), output_format="orc",
+                    output_options={"compression": "zlib"})
+    assert run.collection.first()["n_docs"] == spark.read.orc(at("out")).count() == 30
+    with pytest.raises(ValueError, match="Parquet"):
+        run_batch(spark, sensors, at("out"), output_format="orc", unique_ids=True)
+
+
 def test_batch_job_takes_a_fixed_number_of_partitions(spark, sensors, at, tmp_path):
     run = run_batch(spark, sensors, at("out"), partitions=5, compression_level=1)
     assert run.partitions == 5
