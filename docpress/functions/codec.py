@@ -53,5 +53,9 @@ def compress(text: Column | str, level: int = DEFAULT_LEVEL) -> Column:
 
 
 def decompress(data: Column | str) -> Column:
-    """Text held by a value that :func:`compress` wrote."""
+    """Text held by a value that :func:`compress` wrote.
+
+    One Arrow batch of texts must stay below 2 GB. Where payloads shrank more than
+    30-fold, lower ``spark.sql.execution.arrow.maxBytesPerBatch`` from its 64 MB.
+    """
     return _decompressor()(data).cast("string")

@@ -6,9 +6,10 @@ from docpress.operators.gates import check, enforce
 from docpress.operators.layout import (
     choose_partitions, partitions_for_bytes, read_by_id, read_spread, spread,
     write_by_id_hash, write_by_metric)
-from docpress.operators.publish import publish_frames, with_positions
+from docpress.operators.publish import publish_frames, publish_options, with_positions
 from docpress.operators.ranked import metric_range, top_k
-from docpress.operators.sinks import append_documents, write_micro_batch
+from docpress.operators.sinks import (
+    append_documents, document_store_options, write_micro_batch)
 from docpress.operators.stats import (
     batch_stats, collection_stats, ratio_count_summary, storage_stats)
 from docpress.operators.unique import UniqueAppend, unique_append
@@ -17,9 +18,10 @@ from docpress.operators.windows import (
 
 __all__ = [
     "UniqueAppend", "append_documents", "batch_documents", "batch_stats", "check",
-    "choose_partitions", "classify_frames", "collection_stats", "documents_total", "enforce", "frame_documents", "metric_range",
-    "partitions_for_bytes", "processing_rate", "publish_frames", "ratio_by_window",
-    "ratio_count_summary", "read_by_id", "read_spread", "slide", "split_rejects", "spread", "stamp",
-    "storage_stats", "tag_batch", "time_buckets", "top_k", "unique_append",
+    "choose_partitions", "classify_frames", "collection_stats", "document_store_options",
+    "documents_total", "enforce", "frame_documents", "metric_range", "partitions_for_bytes",
+    "processing_rate", "publish_frames", "publish_options", "ratio_by_window",
+    "ratio_count_summary", "read_by_id", "read_spread", "slide", "split_rejects", "spread",
+    "stamp", "storage_stats", "tag_batch", "time_buckets", "top_k", "unique_append",
     "with_positions", "write_by_id_hash", "write_by_metric", "write_micro_batch",
 ]

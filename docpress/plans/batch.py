@@ -20,6 +20,7 @@ from docpress.sources.files import detect_format, input_inventory, read_table
 
 logger = logging.getLogger(__name__)
 
+
 @dataclass(frozen=True)
 class BatchRun:
     """What one run read and wrote, and the collection's statistics after it."""

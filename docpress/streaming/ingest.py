@@ -37,9 +37,10 @@ def triggered(writer: DataStreamWriter, available_now: bool, seconds: int) -> Da
 
 def start_ingest(frames: DataFrame, path: str, checkpoint: str, *,
                  schema: T.StructType = SENSOR_SCHEMA, level: int = DEFAULT_LEVEL,
-                 size_unit: str = "bytes", partitions: int | None = None, trigger_seconds: int = TRIGGER_SECONDS,
-                 available_now: bool = False,
-                 as_of: datetime | str | None = None, on_batch: BatchListener = log_batch) -> StreamingQuery:
+                 size_unit: str = "bytes", partitions: int | None = None,
+                 trigger_seconds: int = TRIGGER_SECONDS, available_now: bool = False,
+                 as_of: datetime | str | None = None,
+                 on_batch: BatchListener = log_batch) -> StreamingQuery:
     """Compress and store every micro-batch, and report its statistics.
 
     The statistics are observed while the batch is written, in the task that

@@ -188,11 +188,24 @@ def test_hash_layout_puts_each_id_in_one_shard(spark, sized, at):
     assert "PartitionFilters: [isnotnull(shard" in physical(found)
 
 
-def test_hash_layout_leaves_a_heavy_id_to_aqe(spark, at):
-    heavy = spark.range(2000).select(F.lit("same").alias("_id"), "id")
-    write_by_id_hash(heavy, at("by-id"), shards=5)
+def test_hash_layout_splits_a_heavy_id_over_files(spark, at):
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("_id"),
+        F.sha2(F.col("id").cast("string"), 256).alias("data"))
+    rows.repartition(8).write.parquet(at("stored"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "200k")
+    try:
+        write_by_id_hash(spark.read.parquet(at("stored")), at("by-id"), shards=4)
+    finally:
+        spark.conf.set(size, before)
     stored = spark.read.parquet(at("by-id"))
-    assert stored.count() == 2000 and stored.select("shard").distinct().count() == 1
+    assert stored.count() == 60_000
+    hot = stored.where("_id = 'hot'")
+    assert hot.select("shard").distinct().count() == 1
+    files = [r["count"] for r in hot.groupBy("_metadata.file_name").count().collect()]
+    assert len(files) >= 4 and max(files) < 10_000
 
 
 def test_top_k_meets_only_k_rows_per_task(spark, sized):
