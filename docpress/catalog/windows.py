@@ -79,8 +79,10 @@ def documents_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_rates(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
     path, checkpoint = scratch_path(spark, "rates"), scratch_path(spark, "rates-checkpoint")
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                     2 * spark.sparkContext.defaultParallelism)
     running = start_rates(sized_events(event_stream(spark, sf_dir)), path, checkpoint,
-                          available_now=True, **options)
+                          available_now=True, state_partitions=partitions, **options)
     running.awaitTermination(STREAM_TIMEOUT_SECONDS)
     return _shown(spark.read.parquet(path))
 

@@ -6,7 +6,8 @@ from docpress.operators.gates import check, enforce
 from docpress.operators.layout import (
     choose_partitions, partitions_for_bytes, read_by_id, read_spread, spread,
     write_by_id_hash, write_by_metric)
-from docpress.operators.publish import publish_frames, publish_options, with_positions
+from docpress.operators.publish import (
+    publish_frames, publish_options, with_positions, write_frames)
 from docpress.operators.ranked import metric_range, top_k
 from docpress.operators.sinks import (
     append_documents, document_store_options, write_micro_batch)
@@ -23,5 +24,5 @@ __all__ = [
     "processing_rate", "publish_frames", "publish_options", "ratio_by_window",
     "ratio_count_summary", "read_by_id", "read_spread", "slide", "split_rejects", "spread",
     "stamp", "storage_stats", "tag_batch", "time_buckets", "top_k", "unique_append",
-    "with_positions", "write_by_id_hash", "write_by_metric", "write_micro_batch",
+    "with_positions", "write_by_id_hash", "write_by_metric", "write_frames", "write_micro_batch",
 ]

@@ -71,3 +71,9 @@ def publish_options(servers: str, topic: str) -> dict[str, str]:
         "kafka.compression.type": "gzip",
         "kafka.acks": "all",
     }
+
+
+def write_frames(frames: DataFrame, path: str | None = None, *, format: str = "kafka",
+                 **options: object) -> None:
+    """Append frames to a topic (:func:`publish_options`), or to files for replay."""
+    frames.write.format(format).mode("append").options(**options).save(path)

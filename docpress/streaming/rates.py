@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,6 +13,8 @@ from docpress.operators.windows import (
     RATE_STEP_SECONDS, RATE_WINDOW_SECONDS, rate_columns, slide, time_buckets)
 from docpress.streaming.ingest import TRIGGER_SECONDS, triggered
 
+_SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+
 
 def rate_stream(documents: DataFrame, *, late_seconds: int, width: int = RATE_WINDOW_SECONDS,
                 step: int = RATE_STEP_SECONDS, ts: str = "timestamp", **columns: str) -> DataFrame:
@@ -31,13 +36,16 @@ def start_rates(documents: DataFrame, path: str, checkpoint: str, *, complete: b
                 late_seconds: int = 600, width: int = RATE_WINDOW_SECONDS,
                 step: int = RATE_STEP_SECONDS, ts: str = "timestamp",
                 trigger_seconds: int = TRIGGER_SECONDS, available_now: bool = False,
-                **columns: str) -> StreamingQuery:
+                state_partitions: int | None = None, **columns: str) -> StreamingQuery:
     """Store rates as they are computed.
 
     Append mode adds each window once, when it closes. Complete mode rewrites
     all windows after every micro-batch and drops no late row; its state is one
     narrow row per time bucket, and the overlapping windows are derived from
     those rows by the same operator that serves tables.
+
+    ``state_partitions`` is fixed for the life of a checkpoint; by default it is
+    the session's ``spark.sql.shuffle.partitions``. The state is narrow, so few do.
     """
     if not complete:
         rates = rate_stream(documents, late_seconds=late_seconds, width=width, step=step,
@@ -53,5 +61,21 @@ def start_rates(documents: DataFrame, path: str, checkpoint: str, *, complete: b
             rate_columns(windows, width).write.mode("overwrite").parquet(path)
 
         writer = buckets.writeStream.foreachBatch(rewrite).outputMode("complete")
-    writer = writer.option("checkpointLocation", checkpoint)
-    return triggered(writer, available_now, trigger_seconds).start()
+    writer = triggered(writer.option("checkpointLocation", checkpoint), available_now,
+                       trigger_seconds)
+    with _shuffle_partitions(documents.sparkSession, state_partitions):
+        return writer.start()
+
+
+@contextmanager
+def _shuffle_partitions(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Start a query with its own setting: it copies the session's when it starts."""
+    if partitions is None:
+        yield
+        return
+    before = spark.conf.get(_SHUFFLE_PARTITIONS)
+    spark.conf.set(_SHUFFLE_PARTITIONS, partitions)
+    try:
+        yield
+    finally:
+        spark.conf.set(_SHUFFLE_PARTITIONS, before)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docpress.operators.documents import frame_documents
 import docpress.operators.publish as publish
-from docpress.operators.publish import publish_frames, publish_options, with_positions
+from docpress.operators.publish import (
+    publish_frames, publish_options, with_positions, write_frames)
 
 
 def test_positions_follow_the_order(spark):
@@ -65,10 +66,12 @@ def test_records_without_a_key_column(spark):
     assert sorted(bytes(r["key"]).decode() for r in frames.collect()) == ["default_0", "default_1"]
 
 
-def test_published_frames_can_be_ingested(spark):
+def test_published_frames_can_be_ingested(spark, at):
     records = spark.createDataFrame([("s1", 21.5, 0)], "sensor_id string, temperature double, position int")
     frames = publish_frames(records).withColumn("timestamp", F.current_timestamp())
-    assert tuple(frame_documents(frames).select("key", "data.temperature").first()) == ("s1", 21.5)
+    write_frames(frames, at("frames"), format="parquet")
+    stored = spark.read.parquet(at("frames"))
+    assert tuple(frame_documents(stored).select("key", "data.temperature").first()) == ("s1", 21.5)
 
 
 def test_publish_options():

@@ -143,3 +143,12 @@ def test_append_with_adjoining_windows(spark, at):
     land(spark, at("in"), 0, 10, minutes=60)
     found = rates(spark, at, late_seconds=60, width=300, step=300)
     assert [(r["window_start"], r["n_docs"], r["avg_ratio"]) for r in found.collect()] == [(START, 10, 2.0)]
+
+
+def test_state_partitions_belong_to_the_query(spark, at, tmp_path):
+    land(spark, at("in"), 0, 10)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rates(spark, at, complete=True, state_partitions=2)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before != "2"
+    state = tmp_path / "rates-checkpoint" / "state" / "0"
+    assert {p.name for p in state.iterdir() if p.name.isdigit()} == {"0", "1"}
