@@ -10,6 +10,7 @@ from docpress.catalog.registry import (
     sensor_frames, table_path)
 from docpress.catalog.windows import STREAM_TIMEOUT_SECONDS
 from docpress.functions.codec import decompress
+from docpress.operators.documents import unpack
 from docpress.operators.layout import TASKS_PER_CORE
 from docpress.plans.batch import run_batch
 from docpress.plans.daily import checked_run
@@ -25,8 +26,8 @@ from docpress.sources.collection import read_collection
 def batch_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "documents")
     run_batch(spark, table_path(sf_dir, "documents"), path, id_col="doc_id", as_of=AS_OF)
-    return read_collection(spark, path).select(
-        "_id", "original_size", F.md5(decompress("data")).alias("md5"))
+    texts = unpack(read_collection(spark, path), ["_id", "original_size"])
+    return texts.select("_id", "original_size", F.md5("payload").alias("md5"))
 
 
 @query("stream_ingest", f"""

@@ -30,7 +30,7 @@ def frame_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ({FRAMES_SQL})
 """)
 def json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = decode_frames(sensor_frames(table(spark, sf_dir, "events")))
+    frames = decode_frames(sensor_frames(read_spread(spark, table_path(sf_dir, "events"))))
     return frames.select("key", parse_json("raw_value").alias("data")).select(
         "key", F.col("data.timestamp").alias("reading_time"), "data.sensor_id",
         "data.temperature", "data.humidity", "data.metadata.type", "data.metadata.quality")
@@ -48,7 +48,7 @@ def json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def json_parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of error events lose their last brace before they are parsed."""
-    events = table(spark, sf_dir, "events")
+    events = read_spread(spark, table_path(sf_dir, "events"))
     text = F.col("value").cast("string")
     cut = sensor_frames(events).withColumn("value", F.when(
         F.get_json_object(text, "$.metadata.type") == "error",

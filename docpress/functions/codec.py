@@ -7,6 +7,7 @@ workers need no copy of this package.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -47,6 +48,32 @@ def _decompressor():
     return zlib_decompress
 
 
+def unpacker(data: str, kept: Sequence[str], batch_bytes: int):
+    """Function for ``mapInArrow``: the kept columns and the text of ``data``.
+
+    It emits a batch as soon as its texts reach ``batch_bytes``, however many rows
+    came in at once.
+    """
+    def unpack_batches(batches):
+        for batch in batches:
+            columns = [batch.column(name) for name in kept]
+            blobs = batch.column(data)
+            texts, size, start = [], 0, 0
+            for row in range(batch.num_rows):
+                raw = blobs[row].as_py()
+                text = zlib.decompress(raw) if raw is not None else None
+                texts.append(text)
+                size += len(text) if text else 0
+                if size >= batch_bytes or row == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [c.slice(start, len(texts)) for c in columns]
+                        + [pa.array(texts, pa.binary()).cast(pa.string())],
+                        names=[*kept, "text"])
+                    texts, size, start = [], 0, row + 1
+
+    return unpack_batches
+
+
 def compress(text: Column | str, level: int = DEFAULT_LEVEL) -> Column:
     """Compressed UTF-8 bytes of ``text``; NULL and empty text give NULL."""
     return _compressor(check_level(level))(text)
@@ -55,7 +82,8 @@ def compress(text: Column | str, level: int = DEFAULT_LEVEL) -> Column:
 def decompress(data: Column | str) -> Column:
     """Text held by a value that :func:`compress` wrote.
 
-    One Arrow batch of texts must stay below 2 GB. Where payloads shrank more than
-    30-fold, lower ``spark.sql.execution.arrow.maxBytesPerBatch`` from its 64 MB.
+    A column expression returns as many rows per Arrow batch as it was given, so
+    one batch of texts must stay below 2 GB. Use
+    :func:`docpress.operators.unpack` where payloads shrank more than 30-fold.
     """
     return _decompressor()(data).cast("string")

@@ -1,7 +1,8 @@
 """DataFrame operators over rows, documents and collections."""
 
 from docpress.operators.documents import (
-    batch_documents, classify_frames, frame_documents, split_rejects, stamp, tag_batch)
+    batch_documents, classify_frames, frame_documents, split_rejects, stamp, tag_batch,
+    unpack)
 from docpress.operators.gates import check, enforce
 from docpress.operators.layout import (
     choose_partitions, partitions_for_bytes, read_by_id, read_spread, spread,
@@ -23,6 +24,6 @@ __all__ = [
     "documents_total", "enforce", "frame_documents", "metric_range", "partitions_for_bytes",
     "processing_rate", "publish_frames", "publish_options", "ratio_by_window",
     "ratio_count_summary", "read_by_id", "read_spread", "slide", "split_rejects", "spread",
-    "stamp", "storage_stats", "tag_batch", "time_buckets", "top_k", "unique_append",
+    "stamp", "storage_stats", "tag_batch", "time_buckets", "top_k", "unique_append", "unpack",
     "with_positions", "write_by_id_hash", "write_by_metric", "write_frames", "write_micro_batch",
 ]

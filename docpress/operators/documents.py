@@ -6,19 +6,21 @@ Sizes are read off the compressed value, so each text is compressed once.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docpress.functions.codec import ALGORITHM, DEFAULT_LEVEL, check_level, compress
+from docpress.functions.codec import ALGORITHM, DEFAULT_LEVEL, check_level, compress, unpacker
 from docpress.functions.parsing import (
     CORRUPT_FIELD, SENSOR_SCHEMA, corrupt_aware, decode_frames, parse_json)
 from docpress.functions.payload import document_id, row_json, timestamp_or_now
 from docpress.functions.sizes import compressed_size, original_size, size_ratio
 
 PROCESS_TIME = "process_timestamp"
+UNPACK_BATCH_BYTES = 64 * 1024 * 1024
 
 
 def stamp(df: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
@@ -80,6 +82,20 @@ def frame_documents(frames: DataFrame, *, schema: T.StructType = SENSOR_SCHEMA,
     return stamp(with_ratio, as_of)
 
 
+def unpack(documents: DataFrame, columns: Sequence[str], *, data: str = "data",
+           text: str = "payload", batch_bytes: int = UNPACK_BATCH_BYTES) -> DataFrame:
+    """The named columns and the text that ``data`` holds, whatever its ratio.
+
+    Texts leave the Python worker in batches of about ``batch_bytes``, so a batch
+    of small payloads may grow into any number of large texts.
+    """
+    kept = documents.select(*columns, F.col(data))
+    fields = [kept.schema[c] for c in columns]
+    schema = T.StructType([*fields, T.StructField("text", T.StringType())])
+    rows = kept.mapInArrow(unpacker(data, list(columns), batch_bytes), schema)
+    return rows.withColumnRenamed("text", text)
+
+
 def classify_frames(frames: DataFrame, schema: T.StructType = SENSOR_SCHEMA) -> DataFrame:
     """Parsed frames with ``corrupt_record``: the text that did not fit, or NULL.
 

@@ -4,6 +4,7 @@ import subprocess
 import sys
 import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docpress.functions import codec
 from docpress.functions.codec import compress, decompress
+from docpress.operators import unpack
 from docpress.functions.sizes import compressed_size, original_size, size_ratio
 from tests.plans import physical
 
@@ -87,3 +89,24 @@ def test_sizes_do_not_compress_again(spark):
         "z", compressed_size("z").alias("c"), size_ratio(original_size("t"), compressed_size("z"))))
     assert plan.count("ArrowEvalPython [") == 1
     assert plan.count("zlib_compress(") == 1
+
+
+def test_unpacked_batches_are_bounded_by_their_texts():
+    texts = ["x" * 1000, None, "é" * 10, "y" * 5000, "z" * 10, "w"]
+    batch = pa.RecordBatch.from_pydict({
+        "_id": list(range(6)), "data": [t and zlib.compress(t.encode()) for t in texts]})
+    batches = list(codec.unpacker("data", ["_id"], 2000)(iter([batch, batch.slice(0, 0), batch])))
+    rows = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))]
+    assert rows == [(i, t) for i, t in enumerate(texts)] * 2
+    assert [b.num_rows for b in batches] == [4, 2, 4, 2]
+
+
+def test_unpack_returns_every_text(spark):
+    df = spark.range(200).select(
+        F.col("id").cast("string").alias("_id"), F.struct("id").alias("nested"),
+        F.when(F.col("id") % 7 > 0, F.repeat(F.lit("é"), F.col("id").cast("int"))).alias("t"))
+    packed = df.withColumn("data", compress("t"))
+    rows = unpack(packed, ["_id", "nested"], text="t", batch_bytes=500).collect()
+    assert {r["_id"]: r["t"] for r in rows} == {
+        str(i): "é" * i if i % 7 else None for i in range(200)}
+    assert all(r["nested"]["id"] == int(r["_id"]) for r in rows)
