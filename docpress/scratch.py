@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -26,7 +27,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get(SETTING, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ScratchLocationError(f"set {SETTING} to a folder shared by the cluster")
         base = _own_folder()
     return f"{base.rstrip('/')}/docpress/{label}-{uuid.uuid4().hex}"

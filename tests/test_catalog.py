@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_points
+from docpress import catalog
 from tests import oracle
 from tests.conftest import TESTDATA
 
@@ -17,19 +18,19 @@ def con():
     return oracle.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_its_sql(spark, con, name):
-    df = entry_points.queries()[name](spark, SF_DIR)
+    df = catalog.queries()[name](spark, SF_DIR)
     if name in ROWS_ONLY:
         assert df.count() == 1
         return
-    sql = entry_points.oracle_sql()[name]
+    sql = catalog.oracle_sql()[name]
     assert not oracle.type_differences(df, con, sql)
     assert oracle.spark_rows(df) == oracle.sql_rows(con, sql)
 
 
 def test_only_known_queries_lack_sql():
-    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == ROWS_ONLY
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == ROWS_ONLY
 
 
 def test_entry_returns_documents(spark):
