@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docpress.catalog.registry import table
 from docpress.llm.licenses import scan_licenses
+from docpress.llm.lines import drop_repeated_lines
 from docpress.llm.packing import pack_documents
 from docpress.llm.sharding import shard_documents
 
@@ -56,6 +57,34 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("labels", ",").alias("labels"), "score")
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("op3_line_dedup", sql=f"""
+    with lines as (
+        select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+               unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos
+        from documents),
+    keyed as (
+        select doc_id, line, pos,
+               trim(translate(line, '{_UPPER}', '{_LOWER}'),
+                    ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as line_key
+        from lines),
+    owners as (
+        select line_key, min(doc_id) as owner from keyed where length(line_key) >= 10
+        group by line_key)
+    select doc_id, count(*)::bigint as n_lines,
+           (count(*) filter (where owner < doc_id))::bigint as n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) order by pos)
+                  filter (where owner is null or owner >= doc_id), '')) as kept_sha256
+    from keyed left join owners using (line_key)
+    group by doc_id
+""")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"))
