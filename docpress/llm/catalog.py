@@ -13,6 +13,7 @@ from docpress.llm.lines import drop_repeated_lines
 from docpress.llm.packing import pack_documents
 from docpress.llm.sharding import shard_documents
 from docpress.llm.simhash import simhash_components
+from docpress.llm.substrings import drop_repeated_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +94,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_windows(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"))

@@ -27,17 +27,19 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star in turn: every node hands the nodes around it to the
     least of them, until all links point at roots. The number of rounds grows with
     the logarithm of the nodes; each takes grouped minima (combined before their
-    shuffle) and an ordinary join, which Spark splits where a hub is skewed. Each
-    round is written to the shared scratch folder.
+    shuffle) and an ordinary join. The minima are written before they are joined, to
+    the shared scratch folder: a join of two plain shuffles is one that Spark splits
+    where a hub is skewed.
     """
     links = stored(_pointed_down(links.select("a", "b")), "links")
     mark = _mark(links)
     while mark[0]:
         both = links.union(links.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = _pointed_down(
             both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large, "large-star")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = stored(_pointed_down(small.union(least.select("a", "m"))), "links")
         before, mark = mark, _mark(links)

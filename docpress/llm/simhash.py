@@ -362,7 +362,7 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     roots = components(hamming_links(nodes.select("fp"), radius, parts=parts))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
-    heads = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    heads = stored(rooted.groupBy("root").agg(F.min("first").alias("component")), "heads")
     named = rooted.join(heads, "root").select("fp", "component")
     known = prints.join(named, "fp")
     return known.select("doc_id", "fp", F.when(
