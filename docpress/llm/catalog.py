@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from docpress.catalog.registry import table
 from docpress.llm.decontamination import contaminated
+from docpress.llm.language import fit, identify_languages
 from docpress.llm.licenses import scan_licenses
 from docpress.llm.lines import drop_repeated_lines
 from docpress.llm.packing import pack_documents
 from docpress.llm.sharding import shard_documents
 from docpress.llm.simhash import simhash_components
+from docpress.llm.sketches import as_text, edited_fingerprints
 from docpress.llm.substrings import drop_repeated_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +102,29 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+@query("op7_fingerprints")
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = edited_fingerprints(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("sketch")).alias("fingerprint"),
+        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited", "near_next")
+
+
+@query("op8_language")
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables of texts: documents with their declarations, pages with addresses too."""
+    documents = table(spark, sf_dir, "documents")
+    model = fit(documents)
+    texts = identify_languages(documents, model, declared_col="lang", host_col="source")
+    pages = identify_languages(table(spark, sf_dir, "pages"), model, id_col="page_id",
+                               text_col="html", url_col="url", html=True)
+    none = F.lit(None).cast("long")
+    return texts.withColumn("page_id", none).unionByName(
+        pages.withColumnRenamed("doc_id", "page_id").withColumn("doc_id", none))
+
+
 @query("op9_substring_dedup")
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_windows(table(spark, sf_dir, "documents"))
