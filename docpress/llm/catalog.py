@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docpress.catalog.registry import table
@@ -13,6 +13,7 @@ from docpress.llm.language import fit, identify_languages
 from docpress.llm.licenses import scan_licenses
 from docpress.llm.lines import drop_repeated_lines
 from docpress.llm.packing import pack_documents
+from docpress.llm.pii import find_personal_data
 from docpress.llm.sharding import shard_documents
 from docpress.llm.simhash import simhash_components
 from docpress.llm.sketches import as_text, edited_fingerprints
@@ -95,6 +96,22 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+
+    def written(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", *(count(kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")),
+        F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 @query("op6_simhash")
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"), width=4, radius=4)

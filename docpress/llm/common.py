@@ -36,6 +36,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Ids to leave out are broadcast if they take less than this, else joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs``, all columns, without the ids in ``gone`` (column ``key``).
+
+    The ids are counted first: few of them spare the texts a shuffle.
+    """
+    ids = stored(gone.select("key").distinct(), "gone")
+    few = ids.count() * 16 <= BROADCAST_BYTES
+    side = F.broadcast(ids) if few else ids
+    return docs.join(side, order_id(docs[id_col]) == ids["key"], "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

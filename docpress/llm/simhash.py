@@ -170,7 +170,7 @@ def group_value(fp: np.ndarray, bits: list[int]) -> np.ndarray:
 def _value_column(bits: list[int]) -> Column:
     value = F.lit(0).cast("long")
     for n, bit in enumerate(bits):
-        one = F.shiftrightunsigned("fp", bit).bitwiseAND(F.lit(1).cast("long"))
+        one = F.shiftrightunsigned(F.col("fp"), bit).bitwiseAND(F.lit(1).cast("long"))
         value = value.bitwiseOR(F.shiftleft(one, n))
     return value
 
@@ -239,37 +239,53 @@ def _masks(width: int, most: int) -> list[np.ndarray]:
     return [np.concatenate(layers[:k + 1]) for k in range(most + 1)]
 
 
-def _prober(groups: list[list[int]], counts: list[np.ndarray], radius: int, most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = [_masks(len(bits), most) for bits in groups]
+class Probing:
+    """Thresholds of each fingerprint, and the values it probes in each group."""
+
+    def __init__(self, groups: list[list[int]], counts: list[np.ndarray], radius: int, most: int):
+        self.groups, self.counts, self.radius, self.most = groups, counts, radius, most
+
+    def _thresholds(self, fp: np.ndarray, sizes: list[list[int]]) -> tuple:
+        values = [group_value(fp, bits) for bits in self.groups]
+        costs = []
+        for value, count, probes in zip(values, self.counts, sizes):
+            near = count[:, value & (count.shape[1] - 1)]
+            costs.append(np.vstack([np.zeros(len(fp)), near + np.array(probes)[:, None]]))
+        return values, costs, allot(costs, self.radius + 1)
+
+    def _slices(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        masks = [_masks(len(bits), self.most) for bits in self.groups]
+        sizes = [[len(m) for m in mask] for mask in masks]
         for whole in batches:
             for start in range(0, whole.num_rows, 20_000):
                 batch = whole.slice(start, 20_000)
-                signed = batch.column("fp").to_numpy(zero_copy_only=False)
-                fp = signed.view(np.uint64)
-                values = [group_value(fp, bits) for bits in groups]
-                costs = []
-                for value, count, mask in zip(values, counts, masks):
-                    near = count[:, value & (count.shape[1] - 1)]
-                    probes = np.array([len(m) for m in mask])[:, None]
-                    costs.append(np.vstack([np.zeros(len(fp)), near + probes]))
-                units = allot(costs, radius + 1)
-                expected = sum(np.take_along_axis(c, u[None].astype(np.int64), 0)[0]
-                               for c, u in zip(costs, units))
-                for part, (value, mask) in enumerate(zip(values, masks)):
-                    for u in range(1, most + 2):
-                        rows = np.flatnonzero(units[part] == u)
-                        if not len(rows):
-                            continue
-                        probe = (value[rows][:, None] ^ mask[u - 1][None, :]).ravel()
-                        each = len(mask[u - 1])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(probe), part, np.int32)), pa.array(probe),
-                             pa.array(np.repeat(signed[rows], each)),
-                             pa.array(np.repeat(expected[rows], each))],
-                            names=["part", "value", "fp", "expected"])
-
-    return run
+                fp = batch.column("fp").to_numpy(zero_copy_only=False)
+                yield batch, fp, masks, *self._thresholds(fp.view(np.uint64), sizes)
+
+    def expected(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many probes and candidates each fingerprint is to expect."""
+        for _, fp, _, _, costs, units in self._slices(batches):
+            total = sum(np.take_along_axis(c, u[None].astype(np.int64), 0)[0]
+                        for c, u in zip(costs, units))
+            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(total)],
+                                             names=["fp", "expected"])
+
+    def probes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows ``part``, ``value``, ``fp``, ``root``: what each fingerprint probes."""
+        for batch, fp, masks, values, _, units in self._slices(batches):
+            root = batch.column("root").to_numpy(zero_copy_only=False)
+            for part, (value, mask) in enumerate(zip(values, masks)):
+                for u in range(1, self.most + 2):
+                    rows = np.flatnonzero(units[part] == u)
+                    if not len(rows):
+                        continue
+                    probe = (value[rows][:, None] ^ mask[u - 1][None, :]).ravel()
+                    each = len(mask[u - 1])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(probe), part, np.int32)), pa.array(probe),
+                         pa.array(np.repeat(fp[rows], each)),
+                         pa.array(np.repeat(root[rows], each))],
+                        names=["part", "value", "fp", "root"])
 
 
 # --- links ----------------------------------------------------------------------------------------
@@ -289,8 +305,7 @@ def _dense_links(prints: DataFrame) -> DataFrame:
             .select(F.col("fp").alias("a"), F.col("least").alias("b")))
 
 
-def hamming_links(prints: DataFrame, radius: int, *, parts: int | None = None,
-                  between: bool = False) -> DataFrame:
+def hamming_links(prints: DataFrame, radius: int, *, parts: int | None = None) -> DataFrame:
     """Links ``a``, ``b`` that connect all fingerprints at most ``radius`` bits apart.
 
     ``prints`` has distinct values ``fp``. Generalised pigeonhole: the bits are put
@@ -303,9 +318,8 @@ def hamming_links(prints: DataFrame, radius: int, *, parts: int | None = None,
 
     Fingerprints that expect many candidates are first linked to those one or two
     bits away through shared points; pairs connected by then are not linked once
-    more. So a dense group costs few links, and no pair is missed: the links have
-    the same connected components as all pairs within the radius. With ``between``
-    every pair within the radius is returned instead.
+    more. So a dense group costs few links, and nothing is lost: the links have the
+    same connected components as all pairs within the radius.
     """
     if radius == 0:
         empty = prints.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
@@ -316,26 +330,21 @@ def hamming_links(prints: DataFrame, radius: int, *, parts: int | None = None,
     values = F.array(*(F.struct(F.lit(p).alias("part"), _value_column(bits).alias("value"))
                        for p, bits in enumerate(groups)))
     index = prints.select("fp", F.explode(values).alias("v")).select("v.part", "v.value", "fp")
-    counts = candidate_counts(index, groups, most)
-    probes = stored(prints.select("fp").mapInArrow(
-        _prober(groups, counts, radius, most),
-        "part int, value long, fp long, expected double"), "probes")
-    index = index.withColumnRenamed("fp", "other")
-    near = (F.col("fp") != F.col("other")) & (_hamming("fp", "other") <= radius)
-    if between:
-        return probes.join(index, ["part", "value"]).where(near & (F.col("fp") < F.col("other"))) \
-            .select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
+    probing = Probing(groups, candidate_counts(index, groups, most), radius, most)
     # Two that share a point may be two bits apart.
-    dense = probes.where((F.col("expected") > DENSE) & F.lit(radius >= 2)).select("fp").distinct()
-    close = stored(_dense_links(dense), "dense")
-    labels = stored(components(close), "dense-roots")
-    root = labels.select(F.col("node").alias("fp"), "root")
-    probes = probes.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    index = index.join(root.select(F.col("fp").alias("other"), F.col("root").alias("other_root")),
-                       "other", "left").withColumn("other_root", F.coalesce("other_root", "other"))
-    links = (probes.drop("expected").join(index, ["part", "value"])
-             .where(near & (F.col("root") != F.col("other_root"))
-                    & (F.col("fp") < F.col("other")))
+    dense = prints.select("fp").mapInArrow(probing.expected, "fp long, expected double").where(
+        (F.col("expected") > DENSE) & F.lit(radius >= 2)).select("fp")
+    close = stored(_dense_links(dense), "dense-links")
+    roots = components(close).withColumnRenamed("node", "fp")
+    rooted = stored(prints.select("fp").join(roots, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root")), "dense-roots")
+    probes = rooted.mapInArrow(probing.probes, "part int, value long, fp long, root long")
+    index = rooted.select(F.col("fp").alias("other"), F.col("root").alias("other_root"),
+                          F.explode(values).alias("v")).select(
+                              "v.part", "v.value", "other", "other_root")
+    near = (F.col("fp") < F.col("other")) & (_hamming("fp", "other") <= radius)
+    links = (probes.join(index, ["part", "value"])
+             .where(near & (F.col("root") != F.col("other_root")))
              .select(F.col("fp").alias("a"), F.col("other").alias("b")))
     return links.union(close.select("a", "b"))
 
