@@ -79,7 +79,7 @@ def fingerprints_of(texts: pa.Array, width: int) -> np.ndarray:
 
 def _fingerprinter(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, max_bytes=4 << 20):
+        for batch in slices(batches, max_bytes=2 << 20):
             prints = fingerprints_of(batch.column("text"), width)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(prints.view(np.int64))],
