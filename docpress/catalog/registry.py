@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from docpress.functions.parsing import FRAME_ID
 from docpress.functions.payload import TIMESTAMP_FORMAT, row_json
 from docpress.functions.sizes import original_size, size_ratio
+from docpress.scratch import scratch_path
 from docpress.sources.messages import file_frames
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +19,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
+# Files in which a slice of the event stream lands.
+FILES_PER_SLICE = 3
+
 # Processing time of every checked run.
 AS_OF = "2024-02-01 00:00:00"
 AS_OF_TEXT = "2024-02-01 00:00:00.000000"
@@ -58,24 +64,23 @@ def seconds(ts: Column | str) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
 
-# Means are compared to six digits. Engines add up doubles in different orders, so
-# their last bits differ, and a mean of simple fractions often lies exactly half
-# way between two digits. Cutting at an odd place keeps the last bits harmless.
-_CUT = 0.317
+# Engines add up doubles in different orders, so the last bits of their means differ;
+# they are compared to so many digits.
+MEAN_DIGITS = 9
 
 
-def six_digits(value: Column | str) -> Column:
-    column = F.col(value) if isinstance(value, str) else value
-    return F.floor(column * 1e6 + _CUT) / 1e6
+def mean_digits(value: Column | str) -> Column:
+    return F.round(value, MEAN_DIGITS)
 
 
-def six_digits_sql(value: str) -> str:
-    return f"floor(({value}) * 1e6 + {_CUT}) / 1e6"
+def mean_digits_sql(value: str) -> str:
+    return f"round({value}, {MEAN_DIGITS})"
 
 
 # Message frames made from the events table: one sensor reading per event. The
 # event id is outside the parsed schema, so it survives in the raw text only.
 def sensor_frames(events: DataFrame) -> DataFrame:
+    own_id = [FRAME_ID] if FRAME_ID in events.columns else []
     reading = events.select(
         "ts",
         micros("ts").alias("timestamp"),
@@ -85,12 +90,14 @@ def sensor_frames(events: DataFrame) -> DataFrame:
             F.col("event_type").alias("type"),
             F.get_json_object("props", "$.k").cast("int").alias("quality"),
         ).alias("metadata"),
-        "event_id",
+        "event_id", *own_id,
     )
     return reading.select(
         F.col("sensor_id").cast("binary").alias("key"),
-        row_json([c for c in reading.columns if c != "ts"]).cast("binary").alias("value"),
+        row_json([c for c in reading.columns if c not in ("ts", FRAME_ID)]).cast("binary")
+        .alias("value"),
         F.col("ts").alias("timestamp"),
+        *own_id,
     )
 
 
@@ -107,13 +114,37 @@ FRAMES_SQL = """
 """
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files.
+# The events arrive in this many slices of event time.
+SLICES = 4
+_SLICE = "(us - lo) * {n} {div} (hi - lo + 1)"
+EVENT_SLICES_SQL = f"""
+    select e.*, {_SLICE.format(n=SLICES, div="//")} as slice
+    from (select *, epoch_us(ts) as us from events) e,
+         (select min(epoch_us(ts)) as lo, max(epoch_us(ts)) as hi from events)
+"""
+
+
+def replay_events(spark: SparkSession, sf_dir: str, start: Callable[[DataFrame], StreamingQuery],
+                  *, max_files_per_trigger: int | None = 1000) -> None:
+    """Stream the events: each slice of event time lands as files and is drained.
 
-    The glob makes the source take a single file as well as a folder of files.
+    However many files and micro-batches a slice makes, in whatever order, the events
+    of a later slice come later. ``start`` starts a query over the stream of all files,
+    each time with the same checkpoint.
     """
-    schema = table(spark, sf_dir, "events").schema
-    return file_frames(spark, table_path(sf_dir, "events")[:-1] + "[t]", schema=schema)
+    events = table(spark, sf_dir, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = events.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
+    number = F.expr(_SLICE.format(n=SLICES, div="div"))
+    sliced = events.withColumns({"us": us, "lo": F.lit(bounds["lo"]), "hi": F.lit(bounds["hi"])}
+                                ).withColumn("slice", number).drop("us", "lo", "hi")
+    path = scratch_path(spark, "event-slices")
+    for n in range(SLICES):
+        (sliced.where(F.col("slice") == n).drop("slice").repartition(FILES_PER_SLICE)
+         .write.mode("append").parquet(path))
+        frames = file_frames(spark, path, schema=events.schema,
+                             max_files_per_trigger=max_files_per_trigger)
+        start(frames).awaitTermination()
 
 
 # Documents with stand-in sizes, which SQL can compute: the byte length of a text

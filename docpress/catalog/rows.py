@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from docpress.catalog.registry import (
     AS_OF, AS_OF_TEXT, EVENT_PAYLOAD_SQL, FRAMES_SQL, SIZED_DOCUMENTS_SQL, micros, query,
     sensor_frames, sized_documents, table, table_path)
-from docpress.functions.codec import compress, decompress
+from docpress.functions.codec import compress
 from docpress.functions.parsing import decode_frames, parse_json
 from docpress.functions.payload import document_id, row_json
 from docpress.functions.sizes import original_size
-from docpress.operators.documents import batch_documents, classify_frames, stamp
+from docpress.operators.documents import batch_documents, classify_frames, stamp, unpack
 from docpress.operators.layout import read_spread, spread
 
 
@@ -60,9 +60,9 @@ def json_parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("data.temperature").alias("temperature"), "corrupt_record")
 
 
-@query("stamp_as_of", f"select event_id, '{AS_OF_TEXT}' as process_timestamp from events")
+@query("stamp_as_of", f"select *, '{AS_OF_TEXT}' as process_timestamp from events")
 def stamp_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stamp(table(spark, sf_dir, "events").select("event_id"), AS_OF).withColumn(
+    return stamp(table(spark, sf_dir, "events"), AS_OF).withColumn(
         "process_timestamp", micros("process_timestamp"))
 
 
@@ -80,8 +80,8 @@ def row_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = batch_documents(read_spread(spark, table_path(sf_dir, "events")), id_col="event_id",
                                 as_of=AS_OF)
-    return documents.select(
-        "_id", "original_size", decompress("data").alias("payload"),
+    return unpack(documents, ["_id", "original_size", "metadata"]).select(
+        "_id", "original_size", "payload",
         micros("metadata.timestamp").alias("stored_at"),
         "metadata.compression_level", "metadata.algorithm")
 
@@ -92,11 +92,9 @@ def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(document_id(orders, "o_orderkey").alias("_id"), "o_custkey")
 
 
-@query("repartition_keeps_rows", "select l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem")
+@query("repartition_keeps_rows", "select * from lineitem")
 def repartition_keeps_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return spread(lines, 2 * spark.sparkContext.defaultParallelism)
+    return spread(table(spark, sf_dir, "lineitem"), 2 * spark.sparkContext.defaultParallelism)
 
 
 @query("compress_roundtrip", """
@@ -106,9 +104,8 @@ def repartition_keeps_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compress_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_spread(spark, table_path(sf_dir, "documents"))
     packed = documents.select("doc_id", compress(row_json(documents.columns)).alias("data"))
-    back = packed.select("doc_id", decompress("data").alias("payload"))
-    return back.select("doc_id", F.md5("payload").alias("md5"),
-                       original_size("payload").alias("n_bytes"))
+    return unpack(packed, ["doc_id"]).select(
+        "doc_id", F.md5("payload").alias("md5"), original_size("payload").alias("n_bytes"))
 
 
 @query("compress_text_roundtrip", """
@@ -117,8 +114,8 @@ def compress_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compress_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_spread(spark, table_path(sf_dir, "documents"))
     packed = documents.select("doc_id", compress("text").alias("data"))
-    back = packed.select("doc_id", decompress("data").alias("text"))
-    return back.select("doc_id", F.md5("text").alias("md5"), original_size("text").alias("n_bytes"))
+    return unpack(packed, ["doc_id"]).select(
+        "doc_id", F.md5("payload").alias("md5"), original_size("payload").alias("n_bytes"))
 
 
 @query("payload_sizes", """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docpress.catalog.registry import micros, query, table, table_path
-from docpress.functions.payload import JSON_OPTIONS
+from docpress.functions.payload import JSON_OPTIONS, row_json
 from docpress.operators.layout import read_spread
 from docpress.scratch import scratch_path
 from docpress.sources.files import input_inventory, read_table
@@ -34,14 +34,10 @@ def scan_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("scan_csv_roundtrip", """
-    select l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount,
-           l_returnflag, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') as l_shipdate
-    from lineitem
+    select * replace (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') as l_shipdate) from lineitem
 """)
 def scan_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
-        "l_discount", "l_returnflag", "l_shipdate")
+    lines = table(spark, sf_dir, "lineitem")
     path = scratch_path(spark, "lineitem") + ".csv"
     lines.write.option("header", "true").csv(path)
     return read_table(spark, path, schema=lines.schema).withColumn(
@@ -75,6 +71,15 @@ def scan_json_gz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.withColumn("ts", micros("ts"))
 
 
-@query("input_inventory")
-def inventory_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return input_inventory(spark, table_path(sf_dir, "documents")).select("n_files", "n_bytes")
+@query("input_inventory", """
+    select count(distinct n_regionkey) as n_files, sum(strlen(to_json(n)::varchar) + 1)::bigint
+        as n_bytes
+    from nation n
+""")
+def inventory_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of JSON lines with one file for each region."""
+    nation = table(spark, sf_dir, "nation")
+    path = scratch_path(spark, "nations")
+    (nation.select(row_json(nation.columns).alias("value"), F.col("n_regionkey").alias("region"))
+     .repartition("region").write.partitionBy("region").text(path))
+    return input_inventory(spark, path).select("n_files", "n_bytes")

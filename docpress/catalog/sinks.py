@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docpress.catalog.registry import (
-    AS_OF, DOCUMENT_PAYLOAD_SQL, SIZED_DOCUMENTS_SQL, query, sized_documents, table, table_path)
+    AS_OF, DOCUMENT_PAYLOAD_SQL, SIZED_DOCUMENTS_SQL, SIZED_EVENTS_SQL, query, sized_documents,
+    sized_events, table, table_path)
 from docpress.functions.payload import row_json
 from docpress.functions.sizes import original_size
 from docpress.operators.documents import batch_documents, stamp
-from docpress.operators.layout import read_spread, write_by_id_hash, write_by_metric
+from docpress.operators.layout import (
+    read_by_id, read_spread, write_by_id_hash, write_by_metric)
 from docpress.operators.publish import publish_frames, with_positions
 from docpress.operators.ranked import metric_range
 from docpress.operators.sinks import append_documents
+from docpress.operators.stats import storage_stats
 from docpress.operators.unique import UniqueAppend, unique_append
 from docpress.scratch import scratch_path
 from docpress.sources.collection import read_collection
@@ -98,16 +103,44 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("value").cast("string").alias("value"))
 
 
-@query("range_lookup", f"""
-    select _id, original_size from ({SIZED_DOCUMENTS_SQL})
-    where original_size >= 1000 and original_size < 5000
-""")
+def _range_sql(metric: str, low: float, high: float) -> str:
+    return f"""
+        select _id, original_size, compression_ratio from ({SIZED_DOCUMENTS_SQL})
+        where {metric} >= {low} and {metric} < {high}
+    """
+
+
+def _range(spark: SparkSession, sf_dir: str, metric: str, low: float, high: float) -> DataFrame:
+    path = scratch_path(spark, f"by-{metric}")
+    write_by_metric(sized_documents(spark, sf_dir), path, metric)
+    return metric_range(read_collection(spark, path), metric, low, high).select(
+        "_id", "original_size", "compression_ratio")
+
+
+@query("range_lookup", _range_sql("original_size", 1000, 5000))
 def range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "by-size")
-    write_by_metric(sized_documents(spark, sf_dir), path, "original_size",
-                    partitions=spark.sparkContext.defaultParallelism)
-    return metric_range(read_collection(spark, path), "original_size", 1000, 5000).select(
-        "_id", "original_size")
+    return _range(spark, sf_dir, "original_size", 1000, 5000)
+
+
+@query("range_lookup_compressed_size", _range_sql("compressed_size", 500, 2000))
+def range_lookup_compressed_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _range(spark, sf_dir, "compressed_size", 500, 2000)
+
+
+@query("range_lookup_ratio", _range_sql("compression_ratio", 1.0, 1.05))
+def range_lookup_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _range(spark, sf_dir, "compression_ratio", 1.0, 1.05)
+
+
+@query("range_lookup_time", f"""
+    select _id, original_size from ({SIZED_EVENTS_SQL})
+    where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-12'
+""")
+def range_lookup_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "by-time")
+    write_by_metric(sized_events(table(spark, sf_dir, "events")), path, "timestamp")
+    return metric_range(read_collection(spark, path), "timestamp",
+                        datetime(2024, 1, 10), datetime(2024, 1, 12)).select("_id", "original_size")
 
 
 @query("hash_layout_keeps_rows", f"select _id, original_size from ({SIZED_DOCUMENTS_SQL})")
@@ -116,3 +149,36 @@ def hash_layout_keeps_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_by_id_hash(sized_documents(spark, sf_dir), path,
                      shards=spark.sparkContext.defaultParallelism)
     return read_collection(spark, path).select("_id", "original_size")
+
+
+_WANTED = ["0", "7", "42", "99", "no such id"]
+
+
+@query("hash_lookup", f"""
+    select _id, original_size from ({SIZED_DOCUMENTS_SQL})
+    where _id in ({", ".join(f"'{i}'" for i in _WANTED)})
+""")
+def hash_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some ids, from a collection of which a part has another number of shards."""
+    path = scratch_path(spark, "by-id")
+    documents = sized_documents(spark, sf_dir)
+    odd = F.col("_id").cast("bigint") % 2 == 1
+    write_by_id_hash(documents.where(odd), path, shards=7)
+    write_by_id_hash(documents.where(~odd), path, shards=4, mode="append")
+    return read_by_id(spark, path, _WANTED).select("_id", "original_size")
+
+
+@query("storage_size", """
+    select count(*) as n_docs, count(distinct n_regionkey) as n_files, true as has_bytes
+    from nation
+""")
+def storage_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection with one file for each region: documents, files and bytes on disk."""
+    nation = table(spark, sf_dir, "nation")
+    path = scratch_path(spark, "nations")
+    documents = batch_documents(nation, id_col="n_nationkey", as_of=AS_OF)
+    regions = nation.select(F.col("n_nationkey").cast("string").alias("_id"), "n_regionkey")
+    (documents.join(regions, "_id").repartition("n_regionkey")
+     .write.partitionBy("n_regionkey").parquet(path))
+    return storage_stats(spark, path).select(
+        "n_docs", "n_files", (F.col("disk_bytes") > F.col("logical_bytes")).alias("has_bytes"))

@@ -6,27 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docpress.catalog.registry import (
-    SIZED_DOCUMENTS_SQL, SIZED_EVENTS_SQL, micros, query, six_digits, six_digits_sql,
+    SIZED_DOCUMENTS_SQL, SIZED_EVENTS_SQL, micros, query, mean_digits, mean_digits_sql,
     sized_documents, sized_events, table)
 from docpress.operators import stats as S
-from docpress.operators.documents import tag_batch
 from docpress.operators.gates import check
 from docpress.operators.ranked import top_k
 
 _STATS_SQL = f"""
-    count(*) as n_docs, {six_digits_sql("avg(compression_ratio)")} as avg_ratio,
+    count(*) as n_docs, {mean_digits_sql("avg(compression_ratio)")} as avg_ratio,
     sum(original_size)::bigint as total_original,
     sum(compressed_size)::bigint as total_compressed
 """
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({name: six_digits(name) for name in names})
+    return df.withColumns({name: mean_digits(name) for name in names})
 
 
 @query("collection_stats", f"""
     select {_STATS_SQL},
-           {six_digits_sql("sum(original_size)::double / nullif(sum(compressed_size), 0)")}
+           {mean_digits_sql("sum(original_size)::double / nullif(sum(compressed_size), 0)")}
                as overall_ratio
     from ({SIZED_DOCUMENTS_SQL})
 """)
@@ -42,19 +41,8 @@ def logical_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.logical_size(sized_documents(spark, sf_dir))
 
 
-@query("stream_batch_stats", f"""
-    select date_diff('day', date '1970-01-01', ts::date) // 7 as batch_id, {_STATS_SQL}
-    from ({SIZED_EVENTS_SQL}) group by 1
-""")
-def stream_batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events replayed in weekly micro-batches."""
-    events = sized_events(table(spark, sf_dir, "events"))
-    week = F.floor(F.unix_date(F.to_date("timestamp")) / 7)
-    return _rounded(S.batch_stats(tag_batch(events, week)), "avg_ratio")
-
-
 @query("ratio_count_summary", f"""
-    select {six_digits_sql("avg(compression_ratio)")} as avg_ratio, count(*) as total_docs
+    select {mean_digits_sql("avg(compression_ratio)")} as avg_ratio, count(*) as total_docs
     from ({SIZED_DOCUMENTS_SQL})
 """)
 def ratio_count_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +92,7 @@ def topk_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("ratio_gate", f"""
-    select floor, n_docs, {six_digits_sql("avg_ratio")} as avg_ratio, n_docs > 0 as has_documents,
+    select floor, n_docs, {mean_digits_sql("avg_ratio")} as avg_ratio, n_docs > 0 as has_documents,
            avg_ratio >= floor as ratio_ok, n_docs > 0 and avg_ratio >= floor as passed
     from (select count(*) as n_docs, avg(compression_ratio) as avg_ratio
           from ({SIZED_DOCUMENTS_SQL})), (values (1.0::double), (5.0::double)) as f(floor)

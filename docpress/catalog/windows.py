@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from docpress.catalog.registry import (
-    SIZED_EVENTS_SQL, event_stream, query, seconds, six_digits, six_digits_sql, sized_events, table)
+    SIZED_EVENTS_SQL, SLICES, mean_digits, mean_digits_sql, query, replay_events, seconds,
+    sized_events, table)
 from docpress.operators import windows as W
 from docpress.scratch import scratch_path
-from docpress.streaming.rates import start_rates
+from docpress.streaming.rates import read_rates, start_rates
 
-STREAM_TIMEOUT_SECONDS = 24 * 3600
 DAY = 24 * 3600
+# The events span 30 days.
+LATE_DAYS = -(-30 // SLICES) + 1
 
 _SLIDING_SQL = f"""
     select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, count(*) as n_docs,
            sum(original_size)::bigint as n_bytes, sum(original_size)::double / 300.0 as bytes_per_sec,
-           {six_digits_sql("avg(compression_ratio)")} as avg_ratio
+           {mean_digits_sql("avg(compression_ratio)")} as avg_ratio
     from (select original_size, compression_ratio,
                  unnest(range(time_bucket(interval '30 seconds', ts) - interval '270 seconds',
                               time_bucket(interval '30 seconds', ts) + interval '30 seconds',
@@ -31,7 +35,7 @@ def _tumbling_sql(interval: str, width: int) -> str:
         select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, count(*) as n_docs,
                sum(original_size)::bigint as n_bytes,
                sum(original_size)::double / {float(width)} as bytes_per_sec,
-               {six_digits_sql("avg(compression_ratio)")} as avg_ratio
+               {mean_digits_sql("avg(compression_ratio)")} as avg_ratio
         from (select time_bucket(interval '{interval}', ts) as w, * from ({SIZED_EVENTS_SQL}))
         group by w
     """
@@ -40,7 +44,7 @@ def _tumbling_sql(interval: str, width: int) -> str:
 def _shown(rates: DataFrame) -> DataFrame:
     return rates.select(
         seconds("window_start").alias("window_start"), "n_docs", "n_bytes", "bytes_per_sec",
-        six_digits("avg_ratio").alias("avg_ratio"))
+        mean_digits("avg_ratio").alias("avg_ratio"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +67,7 @@ def processing_rate_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratio_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.ratio_by_window(_events(spark, sf_dir)).select(
         seconds("window_start").alias("window_start"),
-        six_digits("avg_ratio").alias("avg_ratio"), "n_docs")
+        mean_digits("avg_ratio").alias("avg_ratio"), "n_docs")
 
 
 @query("documents_total", """
@@ -77,14 +81,31 @@ def documents_total(spark: SparkSession, sf_dir: str) -> DataFrame:
         "window_start", seconds("window_start"))
 
 
+@query("documents_total_untimed", """
+    select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, n_docs,
+           (sum(n_docs) over (order by w nulls first))::bigint as total_docs
+    from (select time_bucket(interval '5 minutes', ts) as w, count(*) as n_docs
+          from (select case when event_type <> 'error' then ts end as ts from events) group by 1)
+""")
+def documents_total_untimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error events have lost their time; the series ends with all documents all the same."""
+    events = table(spark, sf_dir, "events").withColumn(
+        "ts", F.when(F.col("event_type") != "error", F.col("ts")))
+    return W.documents_total(sized_events(events)).withColumn(
+        "window_start", seconds("window_start"))
+
+
 def _stream_rates(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
     path, checkpoint = scratch_path(spark, "rates"), scratch_path(spark, "rates-checkpoint")
     partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
                      2 * spark.sparkContext.defaultParallelism)
-    running = start_rates(sized_events(event_stream(spark, sf_dir)), path, checkpoint,
-                          available_now=True, state_partitions=partitions, **options)
-    running.awaitTermination(STREAM_TIMEOUT_SECONDS)
-    return _shown(spark.read.parquet(path))
+
+    def start(events: DataFrame) -> StreamingQuery:
+        return start_rates(sized_events(events), path, checkpoint, available_now=True,
+                           state_partitions=partitions, **options)
+
+    replay_events(spark, sf_dir, start)
+    return _shown(read_rates(spark, path) if options.get("complete") else spark.read.parquet(path))
 
 
 @query("stream_rate_complete", _SLIDING_SQL)
@@ -95,8 +116,11 @@ def stream_rate_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_rate_append", f"""
     select * from ({_tumbling_sql("1 day", DAY)})
     where window_start::timestamp + interval '1 day'
-          <= (select max(ts) - interval '1 day' from events)
+          <= (select max(ts) - interval '{LATE_DAYS} days' from events)
 """)
 def stream_rate_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily windows that a bound of one late day has closed."""
-    return _stream_rates(spark, sf_dir, width=DAY, step=DAY, late_seconds=DAY)
+    """Daily windows that the bound on late data has closed.
+
+    Files of a slice come in any order, so the bound is longer than a slice.
+    """
+    return _stream_rates(spark, sf_dir, width=DAY, step=DAY, late_seconds=LATE_DAYS * DAY)

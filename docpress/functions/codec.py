@@ -37,17 +37,6 @@ def _compressor(level: int):
     return zlib_compress
 
 
-def _decompressor():
-    @F.arrow_udf(T.BinaryType())
-    def zlib_decompress(blobs: pa.Array) -> pa.Array:
-        return pa.array(
-            [zlib.decompress(raw) if raw is not None else None for raw in blobs.to_pylist()],
-            pa.binary(),
-        )
-
-    return zlib_decompress
-
-
 def unpacker(data: str, kept: Sequence[str], batch_bytes: int):
     """Function for ``mapInArrow``: the kept columns and the text of ``data``.
 
@@ -77,13 +66,3 @@ def unpacker(data: str, kept: Sequence[str], batch_bytes: int):
 def compress(text: Column | str, level: int = DEFAULT_LEVEL) -> Column:
     """Compressed UTF-8 bytes of ``text``; NULL and empty text give NULL."""
     return _compressor(check_level(level))(text)
-
-
-def decompress(data: Column | str) -> Column:
-    """Text held by a value that :func:`compress` wrote.
-
-    A column expression returns as many rows per Arrow batch as it was given, so
-    one batch of texts must stay below 2 GB. Use
-    :func:`docpress.operators.unpack` where payloads shrank more than 30-fold.
-    """
-    return _decompressor()(data).cast("string")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Fixed format: full microseconds, so that no digit of a timestamp is lost.
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
+DEFAULT_ID = "id"
+
 JSON_OPTIONS = {
     "ignoreNullFields": "false",
     "timestampFormat": TIMESTAMP_FORMAT,
@@ -28,10 +30,15 @@ def row_json(columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*[quoted(c) for c in columns]), JSON_OPTIONS)
 
 
-def document_id(df: DataFrame, id_col: str | None = "id") -> Column:
-    """``id_col`` as text; a random UUID where it is NULL or the column is absent."""
-    if id_col is None or id_col not in df.columns:
+def document_id(df: DataFrame, id_col: str | None = DEFAULT_ID) -> Column:
+    """``id_col`` as text; a random UUID where it is NULL.
+
+    Only the default column may be absent; any other name is taken as meant.
+    """
+    if id_col is None or (id_col == DEFAULT_ID and id_col not in df.columns):
         return F.uuid()
+    if id_col not in df.columns:
+        raise ValueError(f"no column {id_col!r} to take ids from; there are {df.columns}")
     return F.coalesce(quoted(id_col).cast("string"), F.uuid())
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from docpress.functions.codec import ALGORITHM, DEFAULT_LEVEL, check_level, compress, unpacker
 from docpress.functions.parsing import (
-    CORRUPT_FIELD, SENSOR_SCHEMA, corrupt_aware, decode_frames, parse_json)
+    CORRUPT_FIELD, SENSOR_SCHEMA, corrupt_aware, decode_frames, frame_id, parse_json)
 from docpress.functions.payload import document_id, row_json, timestamp_or_now
 from docpress.functions.sizes import compressed_size, original_size, size_ratio
 
@@ -66,12 +66,15 @@ def frame_documents(frames: DataFrame, *, schema: T.StructType = SENSOR_SCHEMA,
                     as_of: datetime | str | None = None) -> DataFrame:
     """One document per message: the parsed view beside the compressed raw text.
 
+    ``_id`` is the frame's place in its source or a hash of it, so that a store
+    which is given a replayed batch writes over what it has.
+
     The same function serves batch frames and micro-batches.
     """
     decoded = decode_frames(frames)
     packed = decoded.withColumn("compressed_data", compress("raw_value", level))
     sized = packed.select(
-        "key",
+        frame_id(decoded).alias("_id"), "key",
         parse_json("raw_value", schema).alias("data"),
         "timestamp", "compressed_data",
         original_size("raw_value", size_unit).alias("original_size"),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -10,14 +12,15 @@ from pyspark.sql import functions as F
 from docpress.sources.files import detect_format, input_inventory, read_table
 
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
-SHARD = "shard"
+SHARDS, SHARD = "shards", "shard"
 
 # Tasks per core when the input is small: enough to even out long and short texts.
 TASKS_PER_CORE = 2
 # Expected growth of gzip input once it is read.
 GZIP_EXPANSION = 10
-# Beyond this many shuffle partitions the bookkeeping costs more than it gains.
-MAX_PARTITIONS = 50_000
+# Beyond this many shuffle partitions the bookkeeping costs more than it gains. Tasks
+# stream their rows, so larger ones cost time and no memory.
+MAX_PARTITIONS = 200_000
 
 
 def partitions_for_bytes(n_bytes: int, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
@@ -59,17 +62,25 @@ def read_spread(spark: SparkSession, path: str, **options: object) -> DataFrame:
     return spread(rows, partitions) if partitions else rows
 
 
-def write_by_metric(documents: DataFrame, path: str, metric: str, *, partitions: int,
-                    id_col: str = "_id", mode: str = "overwrite") -> None:
+def planned_bytes(df: DataFrame) -> int:
+    """Size of a stored table in bytes, as Spark's plan knows it from the files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def write_by_metric(documents: DataFrame, path: str, metric: str, *,
+                    partitions: int | None = None, id_col: str = "_id",
+                    mode: str = "overwrite") -> None:
     """Rewrite a collection in descending order of ``metric``.
 
     Files then cover separate value ranges and a range read skips the others by
     their min/max. The id and the stored position break ties, so one value, or
     one document stored very often, still splits over several files.
 
-    Give it stored documents: the position is stable only for a repeatable scan.
+    Give it stored documents: the position is stable only for a repeatable scan, and
+    the number of files follows the stored size unless ``partitions`` fixes it.
     """
     position = "_position"
+    partitions = partitions or partitions_for_bytes(planned_bytes(documents))
     order = [F.col(metric).desc(), F.col(id_col), F.col(position)]
     (documents.withColumn(position, F.monotonically_increasing_id())
      .repartitionByRange(partitions, *order)
@@ -78,26 +89,31 @@ def write_by_metric(documents: DataFrame, path: str, metric: str, *, partitions:
      .write.mode(mode).parquet(path))
 
 
-def _shard_of(column: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(shards)).cast("int")
+def _shard_of(column: Column, shards: Column) -> Column:
+    return F.pmod(F.xxhash64(column), shards).cast("int")
 
 
 def write_by_id_hash(documents: DataFrame, path: str, *, shards: int,
                      id_col: str = "_id", mode: str = "overwrite") -> None:
-    """Rewrite a collection so that each id lives in exactly one shard folder.
+    """Write a collection so that each id lives in exactly one shard folder.
+
+    The number of shards is part of the folder's name, so a reader need not know it
+    and documents appended with another number are found as well.
 
     The rebalance hint shuffles by shard and lets AQE split a shard that is too
     large over several tasks and files, so a heavy id stalls no task.
     """
-    (documents.withColumn(SHARD, _shard_of(F.col(id_col), shards))
+    number = F.lit(shards)
+    (documents.withColumns({SHARDS: number, SHARD: _shard_of(F.col(id_col), number)})
      .hint("rebalance", SHARD)
-     .write.mode(mode).partitionBy(SHARD).parquet(path))
+     .write.mode(mode).partitionBy(SHARDS, SHARD).parquet(path))
 
 
-def read_by_id(spark: SparkSession, path: str, document_id: str, *, shards: int,
+def read_by_id(spark: SparkSession, path: str, ids: str | Sequence[str], *,
                id_col: str = "_id") -> DataFrame:
-    """Documents of one id: only the id's shard folder is listed and read."""
-    return (spark.read.parquet(path)
-            .where(F.col(SHARD) == _shard_of(F.lit(document_id), shards))
-            .where(F.col(id_col) == document_id)
-            .drop(SHARD))
+    """Documents of one id or of a few: only the ids' shard folders are read."""
+    wanted = [ids] if isinstance(ids, str) else list(ids)
+    rows = spark.read.parquet(path)
+    folders = reduce(Column.__or__, (F.col(SHARD) == _shard_of(F.lit(i), F.col(SHARDS))
+                                     for i in wanted), F.lit(False))
+    return rows.where(folders).where(F.col(id_col).isin(wanted)).drop(SHARDS, SHARD)

@@ -32,13 +32,20 @@ def append_documents(documents: DataFrame, path: str | None, *, format: str = "p
     writer.save(path)
 
 
-def write_micro_batch(documents: DataFrame, path: str, query_id: str) -> None:
+def write_micro_batch(documents: DataFrame, path: str, query_id: str, *,
+                      format: str = "parquet", **options: object) -> None:
     """Write one micro-batch so that writing it again changes nothing.
 
     ``documents`` carry ``batch_id``. The folder of that query and batch is
     replaced, so a batch replayed after a failure is not stored twice; a new
     checkpoint means a new ``query_id`` and leaves older batches alone.
     """
-    (documents.withColumn("query_id", F.lit(query_id))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("query_id", "batch_id").parquet(path))
+    replace_partitions(documents.withColumn("query_id", F.lit(query_id)), path,
+                       ["query_id", "batch_id"], format=format, **options)
+
+
+def replace_partitions(documents: DataFrame, path: str, columns: list[str], *,
+                       format: str = "parquet", **options: object) -> None:
+    """Write folders by ``columns``; those that are there already are replaced, others stay."""
+    (documents.write.format(format).mode("overwrite").options(**options)
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*columns).save(path))

@@ -7,7 +7,7 @@ definitions run on tables and on streams.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,13 +23,25 @@ def _seconds(n: int) -> str:
     return f"{n} seconds"
 
 
+def _bucket(rows: DataFrame, ts: str, seconds: int) -> Column:
+    if rows.isStreaming:
+        return F.window(ts, _seconds(seconds))
+    # Spark's window() would drop the rows without a time.
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    start = micros - F.pmod(micros, F.lit(seconds * 1_000_000))
+    return F.struct(F.timestamp_micros(start).alias("start"),
+                    F.timestamp_micros(start + seconds * 1_000_000).alias("end"))
+
+
 def time_buckets(documents: DataFrame, *, seconds: int = RATE_STEP_SECONDS, ts: str = "timestamp",
                  original: str = "original_size", ratio: str = "compression_ratio") -> DataFrame:
     """Additive totals of each ``seconds``-wide bucket (column ``bucket``).
 
-    A mean cannot be added up over buckets, so it travels as sum and count.
+    A mean cannot be added up over buckets, so it travels as sum and count. Documents
+    of a table without a time have a bucket of their own, whose times are NULL; a
+    stream with a watermark cannot place them and leaves them out.
     """
-    return documents.groupBy(F.window(ts, _seconds(seconds)).alias("bucket")).agg(
+    return documents.groupBy(_bucket(documents, ts, seconds).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.sum(original).alias("n_bytes"),
         F.sum(ratio).alias("ratio_sum"),
@@ -42,8 +54,15 @@ def slide(buckets: DataFrame, *, width: int = RATE_WINDOW_SECONDS,
     """Totals of windows ``width`` seconds wide that start every ``step`` seconds."""
     if width % step:
         raise ValueError(f"window of {width} s is not a whole number of {step} s buckets")
-    window = F.window(F.col("bucket"), _seconds(width), _seconds(step)).alias("window")
-    return buckets.groupBy(window).agg(*[F.sum(c).alias(c) for c in _TOTALS])
+    if buckets.isStreaming:
+        window = F.window(F.col("bucket"), _seconds(width), _seconds(step)).alias("window")
+        return buckets.groupBy(window).agg(*[F.sum(c).alias(c) for c in _TOTALS])
+    interval = F.make_interval(secs=F.lit(step))
+    first = F.col("bucket.start") - F.make_interval(secs=F.lit(width - step))
+    starts = F.sequence(first, F.col("bucket.start"), interval)
+    copies = buckets.select(F.explode_outer(starts).alias("start"), *_TOTALS)
+    window = F.struct("start", (F.col("start") + F.make_interval(secs=F.lit(width))).alias("end"))
+    return copies.groupBy(window.alias("window")).agg(*[F.sum(c).alias(c) for c in _TOTALS])
 
 
 def rate_columns(windows: DataFrame, width: int = RATE_WINDOW_SECONDS) -> DataFrame:
@@ -82,9 +101,10 @@ def documents_total(documents: DataFrame, *, width: int = RATE_WINDOW_SECONDS,
 
     Windows add up inside their day, days add up among themselves: the
     un-partitioned window sees one row per calendar day, however many documents
-    there are.
+    there are. Documents without a time come first, with a NULL window, so that
+    the series ends with all documents.
     """
-    counts = (documents.groupBy(F.window(ts, _seconds(width)).alias("window"))
+    counts = (documents.groupBy(_bucket(documents, ts, width).alias("window"))
               .agg(F.count(F.lit(1)).alias("n_docs"))
               .select(F.col("window.start").alias("window_start"), "n_docs")
               .withColumn("_day", F.to_date("window_start")))
@@ -94,6 +114,7 @@ def documents_total(documents: DataFrame, *, width: int = RATE_WINDOW_SECONDS,
     within_day = Window.partitionBy("_day").orderBy("window_start")
     # A left join leaves both sides with the same plan below, so the counts are
     # computed once and their shuffle is reused.
-    return counts.join(days, "_day", "left").select(
+    days = days.withColumnRenamed("_day", "_known_day")
+    return counts.join(days, F.col("_day").eqNullSafe(F.col("_known_day")), "left").select(
         "window_start", "n_docs",
         (F.col("_before") + F.sum("n_docs").over(within_day)).alias("total_docs"))

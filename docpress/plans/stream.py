@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -9,9 +11,15 @@ from docpress.sources.messages import DEFAULT_SERVERS, DEFAULT_TOPIC, message_st
 from docpress.streaming.ingest import start_ingest
 
 
-def run_stream(spark: SparkSession, output_path: str, checkpoint_dir: str, *,
+def run_stream(spark: SparkSession, output_path: str | None, checkpoint_dir: str, *,
                kafka_servers: str = DEFAULT_SERVERS, topic: str = DEFAULT_TOPIC,
-               frames: DataFrame | None = None, **ingest: object) -> StreamingQuery:
-    """Start the job on a topic, or on any stream of ``key, value, timestamp``."""
-    source = frames if frames is not None else message_stream(spark, kafka_servers, topic)
+               frames: DataFrame | None = None,
+               source_options: Mapping[str, object] | None = None,
+               **ingest: object) -> StreamingQuery:
+    """Start the job on a topic, or on any stream of ``key, value, timestamp``.
+
+    ``source_options`` are those of :func:`docpress.sources.messages.message_options`.
+    """
+    source = frames if frames is not None else message_stream(
+        spark, kafka_servers, topic, **(source_options or {}))
     return start_ingest(source, output_path, checkpoint_dir, **ingest)

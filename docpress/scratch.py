@@ -19,6 +19,14 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="docpress-")
 
 
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    if "/docpress/" not in path:
+        raise ValueError(f"not a scratch path: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder named in ``spark.checkpoint.dir``.
 

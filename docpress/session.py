@@ -4,15 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# AQE re-plans at run time, UTC keeps rendered timestamps stable, and the byte
-# cap on Arrow batches bounds the memory of a Python worker however long the
-# texts are.
+# UTC keeps rendered timestamps stable, and the byte cap on Arrow batches bounds the
+# memory of a Python worker however long the texts are.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
@@ -32,7 +27,6 @@ def object_store_conf(endpoint: str, *, path_style: bool = True,
     mounted secret), never from code.
     """
     conf = {
-        "spark.hadoop.fs.s3a.impl": "org.apache.hadoop.fs.s3a.S3AFileSystem",
         "spark.hadoop.fs.s3a.endpoint": endpoint,
         "spark.hadoop.fs.s3a.path.style.access": str(path_style).lower(),
     }

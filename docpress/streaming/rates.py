@@ -13,6 +13,7 @@ from docpress.operators.windows import (
     RATE_STEP_SECONDS, RATE_WINDOW_SECONDS, rate_columns, slide, time_buckets)
 from docpress.streaming.ingest import TRIGGER_SECONDS, triggered
 
+VERSION = "version"
 _SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 
 
@@ -39,12 +40,14 @@ def start_rates(documents: DataFrame, path: str, checkpoint: str, *, complete: b
                 state_partitions: int | None = None, **columns: str) -> StreamingQuery:
     """Store rates as they are computed.
 
-    Append mode adds each window once, when it closes. Complete mode rewrites
-    all windows after every micro-batch and drops no late row; its state is one
-    narrow row per time bucket, and the overlapping windows are derived from
-    those rows by the same operator that serves tables.
+    Append mode adds each window once, when it closes. Complete mode writes all
+    windows after every micro-batch, as a version of their own (:func:`read_rates`),
+    and drops no late row: readers always find a whole series, and a crash leaves the
+    one before. Its state is one narrow row per time bucket, and the overlapping
+    windows are derived from those rows by the same operator that serves tables.
 
-    ``state_partitions`` is fixed for the life of a checkpoint; by default it is
+    Start such queries one at a time: ``state_partitions`` is set for the session while
+    a query starts. It is fixed for the life of a checkpoint; by default it is
     the session's ``spark.sql.shuffle.partitions``. The state is narrow, so few do.
     """
     if not complete:
@@ -58,7 +61,8 @@ def start_rates(documents: DataFrame, path: str, checkpoint: str, *, complete: b
         def rewrite(batch: DataFrame, batch_id: int) -> None:
             windows = (batch.withColumnRenamed("bucket", "window") if width == step
                        else slide(batch, width=width, step=step))
-            rate_columns(windows, width).write.mode("overwrite").parquet(path)
+            (rate_columns(windows, width).write.mode("overwrite")
+             .parquet(f"{path}/{VERSION}={batch_id:020d}"))
 
         writer = buckets.writeStream.foreachBatch(rewrite).outputMode("complete")
     writer = triggered(writer.option("checkpointLocation", checkpoint), available_now,
@@ -67,6 +71,20 @@ def start_rates(documents: DataFrame, path: str, checkpoint: str, *, complete: b
         return writer.start()
 
 
+def read_rates(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole series that complete mode wrote."""
+    newest = latest_version(spark, path)
+    return spark.read.parquet(f"{path}/{VERSION}={newest:020d}")
+
+
+def latest_version(spark: SparkSession, path: str) -> int:
+    """Number of the newest version whose write was finished."""
+    done = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.parquet").load(path))
+    number = F.regexp_extract("path", rf"/{VERSION}=(\d+)/", 1).cast("bigint")
+    return done.agg(F.max(number)).first()[0]
+
+
 @contextmanager
 def _shuffle_partitions(spark: SparkSession, partitions: int | None) -> Iterator[None]:
     """Start a query with its own setting: it copies the session's when it starts."""

@@ -183,7 +183,7 @@ def test_hash_layout_puts_each_id_in_one_shard(spark, sized, at):
     assert stored.count() == 3000
     assert stored.groupBy("_id").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
     assert stored.select("shard").distinct().count() == 5
-    found = read_by_id(spark, at("by-id"), "42", shards=5)
+    found = read_by_id(spark, at("by-id"), "42")
     assert [tuple(r) for r in found.collect()] == [("42", 500)]
     assert "PartitionFilters: [isnotnull(shard" in physical(found)
 
@@ -259,3 +259,11 @@ def test_statistics_never_read_the_payload(spark, at):
     append_documents(batch_documents(spark.range(10)), at("c"))
     plan = physical(collection_stats(spark.read.parquet(at("c"))))
     assert "data:binary" not in plan and "original_size:bigint" in plan
+
+
+def test_reader_need_not_know_the_number_of_shards(spark, at):
+    documents = spark.range(100).select(F.col("id").cast("string").alias("_id"))
+    write_by_id_hash(documents.where("_id < 50"), at("mixed"), shards=3)
+    write_by_id_hash(documents.where("_id >= 50"), at("mixed"), shards=8, mode="append")
+    wanted = [str(i) for i in range(40, 60)]
+    assert sorted(r[0] for r in read_by_id(spark, at("mixed"), wanted).collect()) == wanted

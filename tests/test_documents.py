@@ -9,9 +9,8 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from docpress.functions.codec import decompress
 from docpress.functions.payload import document_id, row_json
-from docpress.operators.documents import batch_documents, frame_documents, stamp, tag_batch
+from docpress.operators.documents import batch_documents, frame_documents, stamp, tag_batch, unpack
 from tests.plans import physical
 
 AS_OF = "2024-02-01 12:34:56.000789"
@@ -91,10 +90,15 @@ def test_one_pass_without_a_shuffle(spark, make):
     assert "Exchange" not in plan
 
 
+def test_only_the_default_id_column_may_be_absent(spark):
+    with pytest.raises(ValueError, match="no column 'ide'"):
+        document_id(spark.range(1), "ide")
+
+
 def test_batch_and_stream_agree_on_payload_bytes(spark):
     frames = spark.createDataFrame([(bytearray(b"k"), bytearray('{"temperature": 1.5}'.encode()),
                                      dt.datetime(2024, 1, 1))],
                                    "key binary, value binary, timestamp timestamp")
-    row = frame_documents(frames).select("key", "data.temperature",
-                                         decompress("compressed_data").alias("raw")).first()
+    row = unpack(frame_documents(frames), ["key", "data"], data="compressed_data").select(
+        "key", "data.temperature", "payload").first()
     assert tuple(row) == ("k", 1.5, '{"temperature": 1.5}')

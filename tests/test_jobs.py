@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docpress.errors import QualityGateError
-from docpress.functions.codec import decompress
+from docpress.operators.documents import unpack
 from docpress.operators.gates import check, enforce
 from docpress.plans.batch import run_batch
 from docpress.plans.daily import checked_run
@@ -37,7 +37,7 @@ def test_batch_job_reports_what_it_stored(spark, landing, at):
     assert run.written["n_docs"] == 60 and run.written["avg_ratio"] > 5
     stats = run.collection.first()
     assert (stats["n_docs"], stats["total_original"]) == (60, run.written["total_original"])
-    payload = spark.read.parquet(at("out")).select(decompress("data")).first()[0]
+    payload = unpack(spark.read.parquet(at("out")), ["_id"]).first()["payload"]
     assert payload.startswith('{"data":"xxx') and '"sensor_data":{"temperature":' in payload
 
 
@@ -100,3 +100,24 @@ def test_gate_verdicts(spark, n, ratio, has, ok):
     else:
         with pytest.raises(QualityGateError):
             enforce(row)
+
+
+def test_daily_run_that_is_tried_again_stores_one_copy(spark, landing, at):
+    for _ in range(2):
+        report = checked_run(spark, landing, at("out"), as_of=AS_OF).first()
+        assert (report["n_docs"], report["written_docs"]) == (60, 60)
+    other = checked_run(spark, landing, at("out"), as_of=AS_OF, run_id="another").first()
+    assert (other["n_docs"], other["written_docs"]) == (120, 60)
+
+
+def test_input_without_files_is_reported(spark, tmp_path, at):
+    (tmp_path / "nothing").mkdir()
+    report = checked_run(spark, at("nothing"), at("out"), strict=False).first()
+    assert (report["input_files"], report["n_docs"], report["has_documents"]) == (0, 0, False)
+    with pytest.raises(QualityGateError, match="no documents"):
+        checked_run(spark, at("nothing"), at("out"))
+
+
+def test_run_id_needs_a_collection_of_files(spark, landing):
+    with pytest.raises(ValueError, match="run_id"):
+        run_batch(spark, landing, None, run_id="r", output_format="mongodb")

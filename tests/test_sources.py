@@ -113,7 +113,7 @@ def test_absent_collection_reads_as_empty_when_its_schema_is_known(spark, rows,
 def test_message_options():
     assert message_options("b:1", "t", min_partitions=40) == {
         "kafka.bootstrap.servers": "b:1", "subscribe": "t", "startingOffsets": "earliest",
-        "maxOffsetsPerTrigger": "1000000", "failOnDataLoss": "false", "minPartitions": "40"}
+        "maxOffsetsPerTrigger": "1000000", "failOnDataLoss": "true", "minPartitions": "40"}
 
 
 def test_object_store_settings_hold_no_keys():
