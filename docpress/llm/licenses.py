@@ -57,6 +57,8 @@ _WORD_BYTES = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _TO_WORDS = bytes((b + 32 if 65 <= b <= 90 else b if b in _WORD_BYTES else 32)
                   for b in range(256))
 
+# An expression ends where a sign follows that it cannot hold.
+_EXPRESSION = re.compile(r"[A-Za-z0-9.+:()\s-]*")
 _EXPRESSION_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _TAG_LINE = re.compile(rb"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.IGNORECASE)
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -78,7 +80,7 @@ def postfix(expression: str) -> list[str] | None:
     output: list[str] = []
     operators: list[str] = []
     operand_next = True
-    for token in _EXPRESSION_TOKEN.findall(expression):
+    for token in _EXPRESSION_TOKEN.findall(_EXPRESSION.match(expression)[0]):
         word = token.lower()
         if word in _PRECEDENCE:
             if operand_next:
