@@ -60,10 +60,14 @@ def json_parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("data.temperature").alias("temperature"), "corrupt_record")
 
 
-@query("stamp_as_of", f"select *, '{AS_OF_TEXT}' as process_timestamp from events")
+@query("stamp_as_of", f"""
+    select * replace (strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts),
+           '{AS_OF_TEXT}' as process_timestamp
+    from events
+""")
 def stamp_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stamp(table(spark, sf_dir, "events"), AS_OF).withColumn(
-        "process_timestamp", micros("process_timestamp"))
+    return stamp(table(spark, sf_dir, "events"), AS_OF).withColumns(
+        {name: micros(name) for name in ("ts", "process_timestamp")})
 
 
 @query("row_payload", EVENT_PAYLOAD_SQL)
@@ -92,9 +96,12 @@ def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(document_id(orders, "o_orderkey").alias("_id"), "o_custkey")
 
 
-@query("repartition_keeps_rows", "select * from lineitem")
+@query("repartition_keeps_rows", """
+    select * replace (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') as l_shipdate) from lineitem
+""")
 def repartition_keeps_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "lineitem"), 2 * spark.sparkContext.defaultParallelism)
+    lines = table(spark, sf_dir, "lineitem").withColumn("l_shipdate", micros("l_shipdate"))
+    return spread(lines, 2 * spark.sparkContext.defaultParallelism)
 
 
 @query("compress_roundtrip", """

@@ -15,7 +15,7 @@ from docpress.functions.sizes import original_size
 from docpress.operators.documents import batch_documents, stamp
 from docpress.operators.layout import (
     read_by_id, read_spread, write_by_id_hash, write_by_metric)
-from docpress.operators.publish import publish_frames, with_positions
+from docpress.operators.publish import publish_ordered
 from docpress.operators.ranked import metric_range
 from docpress.operators.sinks import append_documents
 from docpress.operators.stats import storage_stats
@@ -98,7 +98,7 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") != "error",
                F.concat(F.lit("sensor_"), F.col("user_id"))).alias("sensor_id"),
         "event_id", F.col("value").alias("temperature"))
-    frames = publish_frames(with_positions(records, ["event_id"]))
+    frames = publish_ordered(records, ["event_id"])
     return frames.select(F.col("key").cast("string").alias("key"),
                          F.col("value").cast("string").alias("value"))
 

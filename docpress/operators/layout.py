@@ -64,7 +64,7 @@ def read_spread(spark: SparkSession, path: str, **options: object) -> DataFrame:
 
 def planned_bytes(df: DataFrame) -> int:
     """Size of a stored table in bytes, as Spark's plan knows it from the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def write_by_metric(documents: DataFrame, path: str, metric: str, *,

@@ -46,6 +46,28 @@ def _range_number(file_name: str) -> Column:
     return F.regexp_extract(file_name, r"^part-(\d+)", 1).cast("int")
 
 
+_ROW = "_row"
+
+
+def publish_ordered(records: DataFrame, order_by: Sequence[str], *,
+                    key_col: str = "sensor_id") -> DataFrame:
+    """:func:`publish_frames` of records whose place is that in ``order_by``.
+
+    Only records without a key need their place. All are numbered by their order
+    columns alone; records without a key then fetch their number, and those with one
+    are not shuffled. The input must be repeatable, such as a stored table.
+    """
+    named = records.withColumn(_ROW, F.monotonically_increasing_id())
+    missing = F.col(key_col).isNull()
+    numbers = with_positions(
+        named.select(*order_by, _ROW, missing.alias("_missing")), order_by)
+    wanted = numbers.where("_missing").select(_ROW, "position")
+    keyed = named.where(~missing).withColumn("position", F.lit(None).cast("bigint"))
+    keyless = named.where(missing).join(wanted, _ROW)
+    rows = keyed.unionByName(keyless).drop(_ROW)
+    return publish_frames(rows, key_col=key_col)
+
+
 def publish_frames(records: DataFrame, *, key_col: str = "sensor_id",
                    position_col: str = "position") -> DataFrame:
     """``key``/``value`` frames: the key column, or ``default_<position>`` where it

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docpress.operators.documents import frame_documents
 import docpress.operators.publish as publish
 from docpress.operators.publish import (
-    publish_frames, publish_options, with_positions, write_frames)
+    publish_frames, publish_options, publish_ordered, with_positions, write_frames)
 
 
 def test_positions_follow_the_order(spark):
@@ -78,3 +78,15 @@ def test_publish_options():
     assert publish_options("b:1", "t") == {
         "kafka.bootstrap.servers": "b:1", "topic": "t",
         "kafka.compression.type": "gzip", "kafka.acks": "all"}
+
+
+def test_only_order_columns_are_sorted(spark, at):
+    rows = [(f"s{i}" if i % 3 else None, i, "wide" * 50) for i in range(90)]
+    spark.createDataFrame(rows, "sensor_id string, n long, wide string").write.parquet(at("in"))
+    records = spark.read.parquet(at("in"))
+    frames = publish_ordered(records, ["n"])
+    found = {r[0] for r in frames.select(F.col("key").cast("string")).collect()}
+    assert found == {f"s{i}" if i % 3 else f"default_{i}" for i in range(90)}
+    values = {r[0] for r in frames.select(F.col("value").cast("string")).collect()}
+    assert values == {r[0] for r in records.select(F.to_json(
+        F.struct("*"), {"ignoreNullFields": "false"})).collect()}
