@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docpress.llm.common import order_id, slices, stored
+from docpress.llm.common import LAST_ID, order_id, slices, stored
 from docpress.llm.segments import SegmentHasher, joined_words, mix, text_bytes
 from docpress.llm.substrings import rolling
 
@@ -258,8 +258,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     those values. The exact likeness verifies each candidate. Windows with the same
     shingles are looked up and verified once, however many documents hold them.
 
-    NULL and empty texts and items without a word match nothing. NULL document ids
-    are returned as NULL, as one document; repeated rows, of documents or items, give
+    NULL and empty texts and items without a word match nothing. NULL ids, of documents
+    or items, are returned as NULL, as one id; repeated rows, of documents or items, give
     one row for each pair of ids. Other columns are not carried. Empty tables, either
     or both, give no rows.
     """
@@ -267,7 +267,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
         raise ValueError(f"blocks must divide 64, got {blocks}")
     spark = docs.sparkSession
     items = stored(benchmark.select(
-        F.col(item_id_col).cast("long").alias("item_id"),
+        order_id(item_id_col).alias("item_id"),
         F.col(item_text_col).cast("string").alias("text")).mapInArrow(
             _items, "item_id long, n_words long, fp long, plain array<long>, shingles array<long>"),
         "benchmark-items").select("item_id", "n_words", "fp", "plain", "shingles")
@@ -299,5 +299,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
             .groupBy("key", "item_id").agg(F.max(F.struct(
                 "similarity", (-F.col("start")).alias("before"), "n_words")).alias("best")))
     return best.select(
-        F.when(F.col("key") != F.lit(9223372036854775807), F.col("key")).alias("doc_id"),
-        "item_id", (-F.col("best.before")).alias("start"), "best.n_words", "best.similarity")
+        F.nullif(F.col("key"), F.lit(LAST_ID)).alias("doc_id"),
+        F.nullif(F.col("item_id"), F.lit(LAST_ID)).alias("item_id"), (-F.col("best.before")).alias("start"), "best.n_words", "best.similarity")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docpress.llm.common import narrow, order_id, slices, stored
+from docpress.llm.common import LAST_ID, narrow, order_id, slices, stored
 from docpress.llm.components import components
 from docpress.llm.segments import joined_words, text_bytes
 
@@ -374,5 +374,5 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     heads = stored(rooted.groupBy("root").agg(F.min("first").alias("component")), "heads")
     named = rooted.join(heads, "root").select("fp", "component")
     known = prints.join(named, "fp")
-    return known.select("doc_id", "fp", F.when(
-        F.col("component") != F.lit(9223372036854775807), F.col("component")).alias("component_id"))
+    return known.select("doc_id", "fp",
+                        F.nullif(F.col("component"), F.lit(LAST_ID)).alias("component_id"))
