@@ -68,7 +68,7 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
-           max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+           max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``max_bytes`` of text at most.
 
     A text is never cut, so one longer text makes a slice of its own.
