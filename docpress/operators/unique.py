@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docpress.errors import DuplicateKeyError
@@ -23,10 +23,14 @@ KEY_OVERHEAD_BYTES = 64
 
 @dataclass(frozen=True)
 class UniqueAppend:
-    """Rows that landed and rows whose key was taken, both readable afterwards."""
+    """Rows that landed and rows whose key was taken, both readable afterwards.
+
+    ``written`` holds what was observed of the rows while they landed.
+    """
 
     accepted: DataFrame
     rejected: DataFrame
+    written: dict[str, object] = field(default_factory=dict)
 
 
 def split_by_key(documents: DataFrame, existing: DataFrame, *, key: str = "_id",
@@ -89,15 +93,22 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def unique_append(documents: DataFrame, path: str, *, key: str = "_id",
-                  order_by: Sequence[str] = (), strict: bool = False) -> UniqueAppend:
+                  order_by: Sequence[str] = (), strict: bool = False,
+                  observe: Sequence[Column] = ()) -> UniqueAppend:
     """Append the rows with new keys; report the rest.
 
+    ``observe`` names aggregates of the accepted rows, taken while they are written.
     ``strict`` raises when any row was rejected, after the accepted ones landed.
     Two writers that append at the same time are not kept apart.
     """
     existing = read_collection(documents.sparkSession, path, schema=documents.schema)
     split = split_by_key(documents, existing, key=key, order_by=order_by)
-    append_documents(split.accepted, path)
+    if observe:
+        seen = Observation()
+        append_documents(split.accepted.observe(seen, *observe), path)
+        split = replace(split, written=seen.get)
+    else:
+        append_documents(split.accepted, path)
     if strict and not split.rejected.isEmpty():
         raise DuplicateKeyError(f"documents with a key already in {path} were rejected")
     return split

@@ -74,8 +74,7 @@ def run_batch(spark: SparkSession, input_path: str, output_path: str | None, *,
     documents = documents_of(rows, level=compression_level, id_col=id_col,
                              partitions=partitions, as_of=as_of)
     if unique_ids:
-        split = unique_append(documents, output_path)
-        written = collection_stats(split.accepted).first().asDict()
+        written = unique_append(documents, output_path, observe=stats_columns()).written
     elif run_id:
         seen = Observation()
         replace_partitions(
