@@ -126,7 +126,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        "near_edited", "near_next")
+        "near_edited", "near_next", "next_id")
 
 
 @query("op8_language")

@@ -139,7 +139,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     The edited text has the last quarter of its code points (rounded down) replaced by
     as many from the start of the next document in ascending id, or all of them if it
     has fewer; after the last document comes the first. Returns ``doc_id``,
-    ``n_chars``, ``edited``, ``sketch``, ``edited_sketch``, ``near_edited``,
+    ``n_chars``, ``next_id``, ``edited``, ``sketch``, ``edited_sketch``, ``near_edited``,
     ``near_next``.
 
     The order is found on narrow rows; each text then gives the document before it the
@@ -154,22 +154,24 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
                        F.xxhash64(text).alias("content"), text.alias("text"))
     ids = base.select("key", "content", F.char_length("text").alias("n_chars")).distinct()
     order = neighbour_order(ids)
-    placed = base.join(order, ["key", "content"])
     quarter = F.floor(F.col("before.n_chars") / 4).cast("int")
-    # What each document hands to the one before it; repeated rows hand it once.
-    handed = (placed.dropDuplicates(["key", "content"]).select(
+    # What each document hands to the one before it; repeated rows hand it once. Both
+    # joins take all columns of the base by the same keys: its shuffle is used twice.
+    handed = (base.join(order, ["key", "content"]).select(
         F.col("before.key").alias("key"), F.col("before.content").alias("content"),
+        F.col("doc_id").alias("next_id"),
         F.substring(F.col("text"), F.lit(1), quarter).alias("head"),
-        sketch(F.col("text"), width=width, scale=scale).alias("next_sketch")))
+        sketch(F.col("text"), width=width, scale=scale).alias("next_sketch"))
+        .dropDuplicates(["key", "content"]))
     chars = F.char_length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), chars - F.floor(chars / 4).cast("int")),
                       F.col("head"))
-    rows = (placed.select("doc_id", "key", "content", "text").join(handed, ["key", "content"])
-            .select("doc_id", chars.cast("long").alias("n_chars"), edited.alias("edited"),
+    rows = (base.join(handed, ["key", "content"])
+            .select("doc_id", "next_id", chars.cast("long").alias("n_chars"), edited.alias("edited"),
                     sketch(F.col("text"), width=width, scale=scale).alias("sketch"),
                     "next_sketch"))
     rows = rows.withColumn("edited_sketch", sketch(F.col("edited"), width=width, scale=scale))
     return rows.select(
-        "doc_id", "n_chars", "edited", "sketch", "edited_sketch",
+        "doc_id", "n_chars", "next_id", "edited", "sketch", "edited_sketch",
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
