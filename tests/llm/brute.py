@@ -97,6 +97,8 @@ def leaks(rows, items, similarity=0.8):
             if not v:
                 continue
             b, k = shingles(v), min(5, len(v))
+            if not any(tuple(w[x:x + k]) in b for x in range(len(w) - k + 1)):
+                continue
             for s in range(max(1, len(w) - len(v) + 1)):
                 window = w[s:s + len(v)]
                 if len(window) < k:
