@@ -36,19 +36,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# Ids to leave out are broadcast if they take less than this, else joined by a shuffle.
+# Marks to leave out are broadcast if they take less than this, else joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs``, all columns, without the ids in ``gone`` (column ``key``).
+def row_mark(docs: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row: what tells rows of one id, or of none, apart."""
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    return F.xxhash64(*columns, *(c.isNull() for c in columns))
 
-    The ids are counted first: few of them spare the texts a shuffle.
+
+def without(docs: DataFrame, gone: DataFrame, mark: Column) -> DataFrame:
+    """``docs``, all columns, without the rows whose ``mark`` is in ``gone`` (column ``key``).
+
+    The marks are counted first: few of them spare the texts a shuffle.
     """
-    ids = stored(gone.select("key").distinct(), "gone")
-    few = ids.count() * 16 <= BROADCAST_BYTES
-    side = F.broadcast(ids) if few else ids
-    return docs.join(side, order_id(docs[id_col]) == ids["key"], "left_anti")
+    marks = stored(gone.select("key").distinct(), "gone")
+    few = marks.count() * 16 <= BROADCAST_BYTES
+    side = F.broadcast(marks) if few else marks
+    return docs.join(side, mark == marks["key"], "left_anti")
 
 
 def partitions(spark: SparkSession) -> int:
