@@ -54,3 +54,36 @@ def test_near_dedup_of_a_chain_and_a_hub(spark):
     rng.shuffle(rows)
     kept = {r["doc_id"] for r in corpus_pipeline.dedup_near(spark, frame(spark, rows), SF).collect()}
     assert kept == brute.near_heads(rows, 5, 0.8) == {0, 12}
+
+
+def texts_after(stage, spark, rows):
+    found = stage(spark, frame(spark, rows), SF).select("doc_id", "text").collect()
+    return sorted(((r["doc_id"], r["text"]) for r in found), key=str)
+
+
+def test_near_dedup_judges_rows(spark):
+    rng = random.Random(7)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(104)) for x in "abcd")
+    near = edited(rng, a, 0.9)
+    rows = [(1, a), (None, near), (None, b), (None, b), (None, c),  # a bad row, copies, a clean row
+            (7, near), (7, d), (7, d), (7, c)]
+    assert texts_after(corpus_pipeline.dedup_near, spark, rows) == sorted(
+        [(1, a), (None, b), (7, d), (7, c)], key=str)
+
+
+def test_decontamination_judges_rows(spark):
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    bad, one, other = f"New words here. {leak} And more.", "A clean text.", "Another clean text."
+    rows = [(None, bad), (None, one), (3, bad), (3, other), (4, bad), (5, one)]
+    assert texts_after(corpus_pipeline.decontaminate, spark, rows) == sorted(
+        [(None, one), (3, other), (5, one)], key=str)
+
+
+def test_language_judges_rows(spark, small):
+    one, other = (r["text"] for r in small[0].where("lang = 'en' and n_chars > 300").orderBy(
+        "doc_id").limit(2).collect())
+    strange = "xqzjk wvkq zzxq jjqk qqx wvvk"
+    rows = [(None, strange), (None, one), (-5, other), (-5, strange), (-5, "")]
+    docs = frame(spark, rows).unionByName(small[0])
+    kept = corpus_pipeline.identify(spark, docs, SF).where("doc_id is null or doc_id < 0")
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(None, one), (-5, other)}
