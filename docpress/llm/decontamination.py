@@ -17,8 +17,8 @@ from docpress.llm.substrings import rolling
 SHINGLE = 5
 SIMILARITY = 0.8
 # Bits in which fingerprints of texts that are 0.8 alike may differ: about 10 are
-# expected, with a spread of 3.
-RADIUS = 16
+# expected, with a spread of 3. The most that two flips in each block still find.
+RADIUS = 23
 BLOCKS = 8
 # Size of the filter of item shingles that every worker gets: this many bits for each
 # shingle, and never more than 2**27 bits (16 MB). A fuller filter lets more windows

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
+from docpress.llm import decontamination, near
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +91,38 @@ def test_language_judges_rows(spark, small):
     docs = frame(spark, rows).unionByName(small[0])
     kept = corpus_pipeline.identify(spark, docs, SF).where("doc_id is null or doc_id < 0")
     assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(None, one), (-5, other)}
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (0, 1, 50, 900)]
+    sets.append(np.unique(np.concatenate([sets[3][:800], sets[2]])))
+    owner = np.repeat(np.arange(5), [len(x) for x in sets])
+    bits = np.array(near.parities(owner, np.concatenate(sets), 5).to_pylist()).view(np.uint64)
+    for i in range(5):
+        for j in range(5):
+            differ = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+            assert differ <= len(np.setxor1d(sets[i], sets[j]))
+            assert (differ == 0) == (i == j)
+
+
+def test_leaks_with_distant_fingerprints_are_found(docs):
+    """op4: a passage 0.8 alike whose SimHash is more than 16 bits from the item's."""
+    rng = random.Random(9)
+
+    def print_of(texts):
+        batch = pa.RecordBatch.from_pydict({"item_id": list(range(len(texts))), "text": texts})
+        found = {}
+        for out in decontamination._items(iter([batch])):
+            found |= dict(zip(out.column("item_id").to_pylist(), out.column("fp").to_pylist()))
+        return np.array([found[n] for n in range(len(texts))]).view(np.uint64)
+
+    items = [" ".join(f"q{rng.randrange(10**6)}" for _ in range(24)) for _ in range(6000)]
+    near_by = [t.rsplit(" ", 2)[0] + f" x{n} y{n}" for n, t in enumerate(items)]  # 18 of 22
+    apart = np.bitwise_count(print_of(items) ^ print_of(near_by))
+    at = np.flatnonzero((apart > 16) & (apart <= 23))[:5].tolist()
+    assert at
+    found = decontamination.contaminated(
+        docs([(n, near_by[n]) for n in at]),
+        docs([(n, items[n]) for n in at]).withColumnRenamed("doc_id", "item_id"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(n, n) for n in at}
