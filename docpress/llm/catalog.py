@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docpress.catalog.registry import table
+from docpress.llm.common import stored
+from docpress.llm.conversations import conversation_reports, repaired_turns
 from docpress.llm.decontamination import contaminated
 from docpress.llm.language import fit, identify_languages
 from docpress.llm.licenses import scan_licenses
@@ -154,3 +156,36 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
         "sequence_id", "offset")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with planted faults, by a checksum of conversation and turn."""
+    def filled(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    kind = F.crc32(F.concat_ws(":", filled("conv_id"), filled("turn")).cast("binary")) % 20
+    text = filled("text")
+    return rows.select("conv_id", "turn", filled("role").alias("role"), text.alias("text"),
+                       kind.alias("kind")).where("kind <> 0").select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", ""))
+        .otherwise(F.col("text")).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy")
+    ).drop("copy")
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are damaged first; each original one has a row."""
+    rows = table(spark, sf_dir, "conversations")
+    faulty = damaged(rows)
+    reports = stored(conversation_reports(faulty), "conversation-reports")
+    digests = repaired_turns(faulty, reports).where("sha256 is not null").select(
+        F.col("conv").alias("mended"), "sha256")
+    found = reports.join(digests, F.col("conv").eqNullSafe(F.col("mended")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return rows.select("conv_id").distinct().join(
+        found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id", *(F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
