@@ -46,6 +46,12 @@ def row_mark(docs: DataFrame) -> Column:
     return F.xxhash64(*columns, *(c.isNull() for c in columns))
 
 
+def by_row(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with the mark of each row in the place of its id."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != id_col]
+    return docs.select(row_mark(docs).alias(id_col), *others)
+
+
 def without(docs: DataFrame, gone: DataFrame, mark: Column) -> DataFrame:
     """``docs``, all columns, without the rows whose ``mark`` is in ``gone`` (column ``key``).
 

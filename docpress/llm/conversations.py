@@ -17,7 +17,7 @@ from docpress.llm.common import slices
 # What an edit costs, and an undeleted truncated row beside it.
 DELETE, INSERT, KEEP, REROLE, TRUNCATED = 4, 3, 0, 3, 3
 # Rows that one search spans; longer conversations are searched piece by piece.
-PIECE = 64
+PIECE = 16
 
 # Where a conversation stands: nothing yet, after a system, user or assistant row.
 START, SYSTEM, USER, ASSISTANT = range(4)

@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docpress.llm.common import LAST_ID, narrow, order_id, slices, stored
+from docpress.llm.common import (
+    LAST_ID, by_row, narrow, order_id, row_mark, slices, stored, without)
 from docpress.llm.components import components
 from docpress.llm.segments import joined_words, text_bytes
 
@@ -376,3 +377,33 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     known = prints.join(named, "fp")
     return known.select("doc_id", "fp",
                         F.nullif(F.col("component"), F.lit(LAST_ID)).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+                     width: int = 4, radius: int = 4) -> DataFrame:
+    """Of each component of :func:`simhash_components` the row with the smallest id.
+
+    All columns stay. Rows are judged, not ids: rows of one id with different texts each
+    stand for themselves, and so do rows with a NULL id, which count as larger than all
+    others; of rows alike in id and component one stays, also of rows that repeat
+    entirely. NULL, empty and blank texts are copies of each other. An empty table gives
+    no rows.
+    """
+    mark = row_mark(docs)
+    marked = simhash_components(by_row(docs, id_col), id_col=id_col, text_col=text_col,
+                                width=width, radius=radius)
+    marked = marked.select(F.col("doc_id").alias("mark"), F.col("component_id").alias("group"))
+    ids = stored(docs.select(mark.alias("mark"), order_id(id_col).alias("key"))
+                 .groupBy("mark", "key").count(), "row-ids")
+    rows = stored(ids.join(marked.distinct(), "mark"), "row-groups")
+    heads = stored(rows.groupBy("group").agg(F.min(F.struct("key", "mark")).alias("head")),
+                   "row-heads")
+    gone = rows.join(heads, "group").where("mark <> head.mark").select(F.col("mark").alias("key"))
+    kept = without(docs, gone, mark)
+    # Rows that repeat entirely have one mark.
+    again = stored(rows.where("count > 1").join(heads.select("head.mark"), "mark")
+                   .select(F.col("mark").alias("key")), "rows-again")
+    if not again.count():
+        return kept
+    repeated = kept.join(again, row_mark(kept) == again["key"], "left_semi").dropDuplicates()
+    return without(kept, again, row_mark(kept)).unionByName(repeated)

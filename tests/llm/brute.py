@@ -148,28 +148,3 @@ def patterns(text, luhn):
               if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
     kinds = ("email", "ip", "card", "phone")
     return sorted(found, key=lambda s: (s[0], kinds.index(s[2])))
-
-
-def near_heads(rows, width, similarity):
-    """Smallest id of each group that pairs of shingle sets alike by Jaccard connect."""
-    def shingles(text):
-        w = words((text or "").translate(UPPER))
-        return {tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
-
-    rows = sorted(rows)
-    sets = [shingles(t) for _, t in rows]
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            b = sets[j]
-            both = len(a & b)
-            if a == b or both >= similarity * (len(a) + len(b) - both) - 1e-9:
-                x, y = find(i), find(j)
-                parent[max(x, y)] = min(x, y)
-    return {rows[find(n)][0] for n in range(len(rows))}
