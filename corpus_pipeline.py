@@ -10,21 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docpress.catalog.registry import table
-from docpress.llm.common import order_id, row_mark, stored, without
+from docpress.llm.common import by_row, order_id, row_mark, stored, without
 from docpress.llm.decontamination import contaminated
 from docpress.llm.language import fit, identify_languages
 from docpress.llm.lines import drop_repeated_lines
-from docpress.llm.near import drop_near_copies
 from docpress.llm.packing import pack_documents
+from docpress.llm.simhash import drop_near_copies
 
-# Five words to a shingle; near copies have at least this share of all shingles in common.
-NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
-
-
-def by_row(docs: DataFrame) -> DataFrame:
-    """``docs`` with the mark of each row in the place of its id."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
-    return docs.select(row_mark(docs).alias("doc_id"), *others)
+# Words to a shingle, and the bits by which the fingerprints of copies may differ.
+NEAR_WORDS, NEAR_BITS = 4, 4
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +41,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest id, and no other row.
+    """Of each group of SimHash near copies the row with the smallest id, and no other row.
 
     Every row is judged by its text, also rows with a NULL or a repeated id.
     """
-    return drop_near_copies(docs, width=NEAR_WORDS, similarity=NEAR_SIMILARITY)
+    return drop_near_copies(docs, width=NEAR_WORDS, radius=NEAR_BITS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
