@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docpress.catalog.registry import table
+from docpress.llm.collocations import collocations
 from docpress.llm.common import stored
 from docpress.llm.conversations import conversation_reports, repaired_turns
 from docpress.llm.decontamination import contaminated
@@ -158,6 +159,53 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id", "offset")
 
 
+_GRAMS_SQL = " union all ".join(f"""
+        select lang, {n} as words, array_to_string(w[i:i + {n - 1}], ' ') as phrase, count(*) as f
+        from (select lang, w, unnest(range(1, len(w) - {n - 2})) as i from pieces)
+        group by 1, 2, 3""" for n in range(1, 5))
+
+
+@query("op12_collocations", sql=f"""
+    with split as (
+        select coalesce(lang, 'und') as lang, unnest(string_split(
+            translate(coalesce(text, ''), '{_UPPER}.,;:!?' || chr(11) || chr(12) || chr(13) || chr(9),
+                      '{_LOWER}' || repeat(chr(10), 9) || ' '), chr(10))) as piece
+        from documents),
+    pieces as materialized (
+        select lang, list_filter(string_split(piece, ' '), lambda x: x <> '') as w from split),
+    counts as materialized ({_GRAMS_SQL}),
+    totals as (select lang, sum(f)::bigint as n from counts where words = 1 group by 1),
+    candidates as materialized (
+        select lang, words, phrase, f as a, string_split(phrase, ' ') as w from counts
+        where words > 1 and f >= 30),
+    lefts as materialized (
+        select c.*, l.f as l, array_to_string(w[k + 1:], ' ') as rest
+        from (select *, unnest(range(1, words)) as k from candidates) c
+        join counts l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:c.k], ' ')),
+    cuts as (
+        select c.lang, c.phrase, c.words, c.a, c.k, c.l, r.f as r,
+               (2000000::hugeint * c.a // (c.l + r.f))::bigint as score
+        from lefts c join counts r on r.lang = c.lang and r.phrase = c.rest),
+    scored as (
+        select * from cuts
+        qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+    inner_phrases as (
+        select lang, array_to_string(w[i:i + len - 1], ' ') as phrase, max(a) as longest
+        from (select *, unnest(range(1, words - len + 2)) as i
+              from (select *, unnest(range(2, words)) as len from candidates))
+        group by 1, 2),
+    ranked as (
+        select s.*, row_number() over (
+            partition by s.lang order by s.score desc, s.a desc, s.phrase) as rank
+        from scored s left join inner_phrases i using (lang, phrase)
+        where not coalesce(100::hugeint * longest >= 80::hugeint * s.a, false))
+    select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score
+    from ranked join totals using (lang) where rank <= 2000
+""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with planted faults, by a checksum of conversation and turn."""
     def filled(name: str) -> Column:

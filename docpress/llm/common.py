@@ -6,6 +6,7 @@ import sys
 import types
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (makes pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,3 +97,32 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
             held += size
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+# Size of a filter that every worker gets: this many bits for each value, and never more
+# than 2**27 bits (16 MB). A fuller filter lets more through; it never loses a value.
+FILTER_BITS_EACH = 32
+FILTER_BITS_MOST = 27
+
+
+def bitmap(values: DataFrame):
+    """Broadcast bitmap of the longs in the only column; Spark sets the bits."""
+    name = values.columns[0]
+    wanted = max(1, values.count() * FILTER_BITS_EACH)
+    power = min(FILTER_BITS_MOST, max(12, (wanted - 1).bit_length()))
+    bit = F.col(name).bitwiseAND(F.lit((1 << power) - 1).cast("long"))
+    rows = (values.select(F.shiftright(bit, 6).alias("word"),
+                          F.call_function("shiftleft", F.lit(1).cast("long"),
+                                          bit.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+                          .alias("set"))
+            .groupBy("word").agg(F.bit_or("set").alias("set")).toArrow())
+    table = np.zeros(1 << power - 6, np.uint64)
+    table[rows.column("word").to_numpy()] = rows.column("set").to_numpy().view(np.uint64)
+    return values.sparkSession.sparkContext.broadcast(table)
+
+
+def holds(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes a :func:`bitmap` may hold."""
+    bits = hashes & np.uint64(64 * len(table) - 1)
+    return (table[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63))
+            & np.uint64(1)).astype(bool)
