@@ -12,6 +12,7 @@ from docpress.llm.collocations import collocations
 from docpress.llm.common import stored
 from docpress.llm.conversations import conversation_reports, repaired_turns
 from docpress.llm.decontamination import contaminated
+from docpress.llm.jaccard import jaccard_components
 from docpress.llm.language import fit, identify_languages
 from docpress.llm.licenses import scan_licenses
 from docpress.llm.lines import drop_repeated_lines
@@ -159,6 +160,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id", "offset")
 
 
+@query("op11_jaccard_join")
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 _GRAMS_SQL = " union all ".join(f"""
         select lang, {n} as words, array_to_string(w[i:i + {n - 1}], ' ') as phrase, count(*) as f
         from (select lang, w, unnest(range(1, len(w) - {n - 2})) as i from pieces)
