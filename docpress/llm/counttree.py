@@ -17,8 +17,11 @@ def needed(a, b, percent: int):
 
 
 def dimensions(most: int) -> int:
-    """Groups, as a power of two, for sets of at most ``most`` hashes: more for larger ones."""
-    return min(max((most // 2).bit_length(), 4), MOST_DIMENSIONS.bit_length() - 1)
+    """Groups, as a power of two, for sets of at most ``most`` hashes: more for larger ones.
+
+    With a few groups to a hash the bound comes close to the overlap itself.
+    """
+    return min(max((2 * most).bit_length(), 4), MOST_DIMENSIONS.bit_length() - 1)
 
 
 def vectors(sets: list[np.ndarray], power: int) -> np.ndarray:
@@ -26,7 +29,8 @@ def vectors(sets: list[np.ndarray], power: int) -> np.ndarray:
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     group = (np.concatenate(sets) >> np.uint64(64 - power)).astype(np.int64)
     flat = np.bincount(owner << power | group, minlength=len(sets) << power)
-    return flat.reshape(len(sets), 1 << power).astype(np.int32)
+    kind = np.uint16 if max(map(len, sets)) < 1 << 16 else np.int32
+    return flat.reshape(len(sets), 1 << power).astype(kind)
 
 
 def tiled_order(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -66,7 +70,7 @@ class CountTree:
         """Which boxes may hold a set alike enough."""
         p = self.percent
         fits = np.flatnonzero((100 * high_size >= p * size) & (p * low_size <= 100 * size))
-        bound = np.minimum(high[fits], point).sum(axis=1)
+        bound = np.minimum(high[fits], point).sum(axis=1, dtype=np.int64)
         # Of sets of all sizes in the box, the smallest that may do needs the least.
         least = np.maximum(low_size[fits], -(-p * size // 100))
         return fits[bound >= needed(size, least, p)]
@@ -94,18 +98,18 @@ class Tile:
     """
 
     def __init__(self, sets: list[np.ndarray], labels: list, percent: int):
-        self.sets, self.labels, self.percent = sets, labels, percent
+        self.sets, self.percent = sets, percent
         sizes = np.array([len(s) for s in sets], np.int64)
         self.power = dimensions(int(sizes.max()))
         self.points = vectors(sets, self.power)
         self.tree = CountTree(self.points, sizes, percent)
-        self.parent: dict = {}
+        #: Component of each label, and of each set.
+        self.of: dict = {}
+        self.component = np.array([self.of.setdefault(x, len(self.of)) for x in labels])
 
-    def _root(self, label):
-        while (above := self.parent.get(label, label)) != label:
-            self.parent[label] = self.parent.get(above, above)
-            label = above
-        return label
+    def _join(self, one: int, other: int) -> None:
+        self.component[self.component == one] = other
+        self.of.update({x: other for x, c in self.of.items() if c == one})
 
     def _alike(self, one: np.ndarray, other: np.ndarray) -> bool:
         if len(one) > len(other):
@@ -113,19 +117,29 @@ class Tile:
         at = np.minimum(np.searchsorted(other, one), len(other) - 1)
         return int((other[at] == one).sum()) >= needed(len(one), len(other), self.percent)
 
-    def _links(self, point: np.ndarray, hashes: np.ndarray, label, before: int) -> Iterator[int]:
-        for n in self.tree.search(point, len(hashes)).tolist():
-            if n < before and self._root(self.labels[n]) != self._root(label) and self._alike(
-                    self.sets[n], hashes):
-                self.parent[self._root(label)] = self._root(self.labels[n])
+    def _links(self, point: np.ndarray, hashes: np.ndarray, own: int, before: int
+               ) -> Iterator[int]:
+        found = self.tree.search(point, len(hashes))
+        found = found[found < before]
+        while len(found := found[self.component[found] != own]):
+            n, found = int(found[0]), found[1:]
+            if self._alike(self.sets[n], hashes):
                 yield n
+                self._join(own, int(self.component[n]))
+                own = int(self.component[n])
 
     def inner(self) -> Iterator[tuple[int, int]]:
-        """Links that connect all alike sets of the tile."""
-        for n, (point, hashes, label) in enumerate(zip(self.points, self.sets, self.labels)):
-            for other in self._links(point, hashes, label, n):
-                yield n, other
+        """The sets that alike pairs of the tile connect with an earlier one, and the first."""
+        for n, (point, hashes) in enumerate(zip(self.points, self.sets)):
+            for _ in self._links(point, hashes, int(self.component[n]), n):
+                pass
+        first: dict = {}
+        for n, component in enumerate(self.component.tolist()):
+            head = first.setdefault(component, n)
+            if head != n:
+                yield n, head
 
     def asked(self, hashes: np.ndarray, label) -> Iterator[int]:
         """Sets of the tile that connect a set from elsewhere with all that it is like."""
-        yield from self._links(vectors([hashes], self.power)[0], hashes, label, len(self.sets))
+        own = self.of.setdefault(label, len(self.of) + len(self.sets))
+        yield from self._links(vectors([hashes], self.power)[0], hashes, own, len(self.sets))

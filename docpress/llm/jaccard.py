@@ -16,7 +16,7 @@ from docpress.llm.segments import SegmentHasher, joined_words, mix, text_bytes
 from docpress.llm.substrings import rolling
 
 # Points and shingles of a tile; a tree covers one tile.
-TILE_POINTS = 1024
+TILE_POINTS = 4096
 TILE_SHINGLES = 1 << 20
 # Sizes of sets that are told apart; no text has as many words.
 MOST_SIZE = 1 << 40
@@ -241,7 +241,7 @@ def _known(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def alike_sets(texts: DataFrame, described: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``a``, ``b`` between ids of sets that connect all alike pairs."""
+    """``node`` and ``root``: ids of sets that alike pairs connect, and one of each component."""
     schema = "block long, node long"
     shared = stored(texts.mapInArrow(_blocks(width, percent), schema).groupBy("block").agg(
         F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
@@ -260,11 +260,14 @@ def alike_sets(texts: DataFrame, described: DataFrame, width: int, percent: int)
     looks, asks, member = (F.lit(r).alias("role") for r in (LOOKS, ASKS, MEMBER))
     first = stored(_in_trees(members.select("*", F.col("id").alias("root"), looks), percent),
                    "links-in-tiles")
-    # Families of more than one tile are dealt out anew by a hash, so that what is alike
+    # A family of one tile is done. Those of more tiles are dealt out anew by a hash, so that what is alike
     # throughout becomes one; then all but the commonest root of a family ask all tiles.
-    large = members.where("tiles > 1")
+    large = stored(members.where("tiles > 1"), "large-families")
     if large.isEmpty():
-        return first
+        return first.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    of_large = large.select("id")
+    small = first.join(of_large, F.col("a") == F.col("id"), "left_anti")
+    first = stored(first.join(of_large, F.col("a") == F.col("id"), "left_semi"), "large-links")
     again = F.struct(F.lit(-1).alias("slab"),
                      F.pmod(F.xxhash64("id", F.lit(1)), "tiles").alias("salt"))
     rooted = stored(_known(large, first), "large-members")
@@ -280,7 +283,9 @@ def alike_sets(texts: DataFrame, described: DataFrame, width: int, percent: int)
             & (percent * F.col("low") <= 100 * F.col("size")))
     columns = ["family", "tile", "id", "root", "shingles"]
     asked = asking.join(spans, "family").where(fits).select(*columns, asks)
-    return second.union(_in_trees(rooted.select(*columns, member).unionByName(asked), percent))
+    last = _in_trees(rooted.select(*columns, member).unionByName(asked), percent)
+    return small.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        components(second.union(last)))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -310,7 +315,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     texts = docs.select(order_id(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     described = stored(texts.mapInArrow(
         _described(width), "key long, id decimal(38,0), node long, size long"), "sets")
-    roots = components(alike_sets(texts, described, width, percent))
+    roots = alike_sets(texts, described, width, percent)
     firsts = described.where("size > 0").groupBy("id").agg(F.min("key").alias("first"))
     rooted = stored(firsts.join(roots, firsts["id"] == roots["node"], "left").select(
         "id", "first", F.coalesce("root", "id").alias("root")), "rooted-sets")
