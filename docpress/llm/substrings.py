@@ -78,7 +78,7 @@ def _anchors(width: int):
         hasher = SegmentHasher()
         for batch in slices(batches):
             found = Windows(batch.column("text"), width, hasher)
-            keys = batch.column("key").to_numpy()
+            keys, contents = (batch.column(c).to_numpy() for c in ("key", "content"))
             doc, anchor = found.doc[found.run_starts], found.anchor[found.run_starts]
             order = np.lexsort((anchor, doc))
             doc, anchor = doc[order], anchor[order]
@@ -88,7 +88,8 @@ def _anchors(width: int):
             times = np.diff(np.append(at, len(doc)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchor[at].view(np.int64)), pa.array(keys[doc[at]]),
-                 pa.array(times.astype(np.int32))], names=["anchor", "key", "times"])
+                 pa.array(contents[doc[at]]), pa.array(times.astype(np.int32))],
+                names=["anchor", "key", "content", "times"])
 
     return run
 
@@ -104,19 +105,20 @@ _CONTEST = pa.schema([("file", pa.int64()), ("key", pa.int64()), ("content", pa.
                       ("hashes", pa.list_(pa.int64()))])
 
 
-def _beaten(group: np.ndarray, value: np.ndarray, key: np.ndarray, start: np.ndarray
+def _beaten(group: np.ndarray, value: np.ndarray, *place: np.ndarray
             ) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows have an equal one at a smaller (key, start), and the order used.
+    """Which windows have an equal one at a smaller place, and the first of each.
 
-    Equal windows agree in ``group`` and ``value``.
+    Equal windows agree in ``group`` and ``value``; a place is id, content and start.
     """
-    order = np.lexsort((start, key, value, group))
+    order = np.lexsort((*place[::-1], value, group))
     g, v = group[order], value[order]
     new = np.ones(len(order), bool)
     new[1:] = (g[1:] != g[:-1]) | (v[1:] != v[:-1])
     first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     lost = np.zeros(len(order), bool)
-    lost[order] = (key[order] != key[first]) | (start[order] != start[first])
+    for part in place:
+        lost[order] |= part[order] != part[first]
     return lost, order[new]
 
 
@@ -148,7 +150,7 @@ def _contestants(width: int):
             doc, run = found.doc[windows], found.run[windows]
             start = found.word[windows] - found.firsts[doc]
             lost, _ = _beaten(found.anchor[windows].view(np.int64),
-                              found.hash[windows].view(np.int64), keys[doc], start)
+                              found.hash[windows].view(np.int64), keys[doc], contents[doc], start)
             # A row is a run, or one window of a run under a hot anchor.
             alone = hot[run]
             new = np.ones(len(windows), bool)
@@ -181,7 +183,7 @@ def _contestants(width: int):
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (file, key, start): the first to bring a window keeps it.
+    """Rows sorted by (file, key, content, start): the first to bring a window keeps it.
 
     Of the file that runs on into the next batch, the windows brought so far are
     carried: at most those of one anchor, or one window.
@@ -189,7 +191,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     carried_file, carried = None, {}
     for batch in batches:
         file = batch.column("file").to_numpy()
-        key, start = batch.column("key").to_numpy(), batch.column("start").to_numpy()
+        key, content, start = (batch.column(c).to_numpy() for c in ("key", "content", "start"))
         values, bounds = _lists(batch.column("hashes"))
         values = values.to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
@@ -197,23 +199,22 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         live = values != 0
         row, offset, values = row[live], offset[live], values[live]
         place = start[row] + offset
-        lost, firsts = _beaten(file[row], values, key[row], place)
+        lost, firsts = _beaten(file[row], values, key[row], content[row], place)
         if carried_file is not None:
             for n in np.flatnonzero(file[row] == carried_file).tolist():
                 owner = carried.get(values[n])
-                if owner is not None and owner != (key[row[n]], place[n]):
+                if owner is not None and owner != (key[row[n]], content[row[n]], place[n]):
                     lost[n] = True
         last = file[-1] if len(file) else carried_file
         if last != carried_file:
             carried_file, carried = last, {}
         for n in firsts[file[row[firsts]] == last].tolist():
-            carried.setdefault(values[n], (key[row[n]], place[n]))
+            carried.setdefault(values[n], (key[row[n]], content[row[n]], place[n]))
         beaten = batch.column("beaten").to_numpy().copy()
         np.bitwise_or.at(beaten, row[lost], np.int64(1) << offset[lost])
         out = np.flatnonzero(beaten)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key[out]), batch.column("content").take(pa.array(out)),
-             pa.array(start[out]), pa.array(beaten[out])],
+            [pa.array(key[out]), pa.array(content[out]), pa.array(start[out]), pa.array(beaten[out])],
             names=["key", "content", "start", "beaten"])
 
 
@@ -231,12 +232,10 @@ def _remover(width: int):
             doc = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
             edge = np.zeros(len(starts) + 1, np.int64)
             if len(marks):
-                contents = batch.column("content").to_numpy()
-                own = marks.field("content").to_numpy(zero_copy_only=False) == contents[doc]
                 first = firsts[doc] + marks.field("start").to_numpy(zero_copy_only=False)
                 beaten = marks.field("beaten").to_numpy(zero_copy_only=False)
                 for bit in range(width):
-                    at = first[own & (beaten >> bit & 1 == 1)] + bit
+                    at = first[beaten >> bit & 1 == 1] + bit
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + width, -1)
             gone = np.cumsum(edge)[:-1] > 0
@@ -277,9 +276,10 @@ def drop_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     than ``HOT`` times are dealt out by window, so no passage fills a task however
     common it is. Beaten windows are gathered by document and merged.
 
-    NULL, empty and short texts lose nothing. NULL ids count as one document after
-    all others. Rows that repeat an id and its text are one document, each returned;
-    rows of one id with different texts are one document to the rule. Other columns
+    NULL, empty and short texts lose nothing. A document is an id with its
+    text: rows that repeat both are one document, each returned, and different texts
+    under one id, or under none, are documents in the order of a hash of the text. NULL
+    ids come after all others. Other columns
     are not carried. An empty table gives no rows.
     """
     if not 2 <= width <= 62:
@@ -287,22 +287,23 @@ def drop_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), order_id(id_col).alias("key"),
                        F.xxhash64(text).alias("content"), text.alias("text"))
-    anchors = base.select("key", "text").mapInArrow(
-        _anchors(width), "anchor long, key long, times int")
+    document = ["key", "content"]
+    anchors = base.select(*document, "text").mapInArrow(
+        _anchors(width), "anchor long, key long, content long, times int")
     repeated = stored(anchors.groupBy("anchor").agg(F.sum("times").alias("times"))
                       .where("times > 1").select("anchor", (F.col("times") > HOT).alias("hot")),
                       "anchors")
-    wanted = (anchors.select("anchor", "key").join(repeated, "anchor").groupBy("key")
+    wanted = (anchors.select("anchor", *document).join(repeated, "anchor").groupBy(*document)
               .agg(F.collect_set(F.struct("anchor", "hot")).alias("wanted")))
     spark = docs.sparkSession
-    contest = base.join(wanted, "key").mapInArrow(
+    contest = base.join(wanted, document).mapInArrow(
         _contestants(width), "file long, key long, content long, start long, beaten long, "
                              "hashes array<long>")
     judged = (contest.repartition(partitions(spark), "file")
-              .sortWithinPartitions("file", "key", "start")
+              .sortWithinPartitions("file", "key", "content", "start")
               .mapInArrow(_judge, "key long, content long, start long, beaten long"))
-    marks = judged.groupBy("key").agg(
-        F.collect_list(F.struct("content", "start", "beaten")).alias("marks"))
-    return base.join(marks, "key", "left").mapInArrow(
+    marks = judged.groupBy(*document).agg(
+        F.collect_list(F.struct("start", "beaten")).alias("marks"))
+    return base.join(marks, document, "left").mapInArrow(
         _remover(width), "doc_id long, text string, n_words long, n_removed long, "
                          "spans array<struct<start: long, end: long>>")
