@@ -31,11 +31,65 @@ _TEMPER = 1 / 3
 # Country endings that tell a language.
 _ENDINGS = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es",
             "uk": "en", "us": "en", "au": "en", "ie": "en"}
+# Three-letter codes of the languages.
+_CODES = {"deu": "de", "eng": "en", "fra": "fr", "fre": "fr", "ger": "de", "spa": "es"}
 _LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
                      for b in range(256)], np.int64)
 
-_DROPPED = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.DOTALL | re.IGNORECASE)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.IGNORECASE)
+_ELEMENT = re.compile(r"<(script|style)\b", re.IGNORECASE)
+_CLOSED = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
+_ROOT = re.compile(r"<html\b", re.IGNORECASE)
+_DECLARED = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]+)", re.IGNORECASE)
+
+
+def without_markup(page: str) -> str:
+    """A page with a space in the place of each script, style, comment and tag.
+
+    One scan ahead: where no closing mark follows, none is looked for again, and what
+    was opened counts as a tag, or as text if no tag ends any more.
+    """
+    out, at, missing = [], 0, set()
+
+    def end_of(kind: str, start: int) -> int:
+        if kind in missing:
+            return -1
+        if kind in _CLOSED:
+            found = _CLOSED[kind].search(page, start)
+            end = found.end() if found else -1
+        else:
+            end = page.find(kind, start)
+            end = end + len(kind) if end >= 0 else -1
+        if end < 0:
+            missing.add(kind)
+        return end
+
+    while (start := page.find("<", at)) >= 0:
+        element, end = _ELEMENT.match(page, start), -1
+        if element:
+            end = end_of(element[1].lower(), element.end())
+        elif page.startswith("<!--", start):
+            end = end_of("-->", start + 4)
+        if end < 0:
+            end = end_of(">", start + 1)
+        if end < 0:
+            break
+        out += page[at:start], " "
+        at = end
+    return "".join(out) + page[at:]
+
+
+def declared_language(page: str) -> str | None:
+    """The language of the first ``html`` tag that declares one."""
+    root = _ROOT.search(page)
+    while root:
+        end = page.find(">", root.end())
+        end = len(page) if end < 0 else end
+        found = _DECLARED.search(page, root.end(), end)
+        if found:
+            name = found[1].lower()
+            return _CODES.get(name, name)
+        root = _ROOT.search(page, end)
+    return None
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,17 +124,19 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         texts: int = FIT_TEXTS) -> LanguageModel:
     """Trigram model of the languages from at most ``texts`` labelled rows of each.
 
-    The rows are chosen by a hash of their id, over the whole table; they are counted
+    The rows are chosen by a hash of id and text, over the whole table, and rows that
+    repeat both count once; they are counted
     in Spark, and at most 2**16 counts a language reach the driver. Without rows of a
     language its trigrams are all equally likely.
     """
     rows = labelled.select(
-        F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).alias("lang"),
-        F.col(text_col).cast("string").alias("text")).where(F.col("lang").isin(*languages))
+        F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("h"),
+        F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isin(*languages))
     chosen = (rows.groupBy("lang", F.pmod("h", F.lit(texts)).alias("class"))
               .agg(F.min("h").alias("h")).select("lang", "h"))
     # At most ``texts`` rows a language.
-    few = rows.join(F.broadcast(chosen), ["lang", "h"])
+    few = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(
+        F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), _CELLS), np.int64)
@@ -107,7 +163,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def _scorer(model: LanguageModel, html: bool, carried: list[str]):
     def plain(page: str) -> str:
-        return entities.unescape(_DROPPED.sub(" ", page))
+        return entities.unescape(without_markup(page))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -115,8 +171,7 @@ def _scorer(model: LanguageModel, html: bool, carried: list[str]):
             declared = batch.column("declared")
             if html:
                 pages = [t or "" for t in texts.to_pylist()]
-                found = map(_DECLARED.search, pages)
-                declared = pa.array([m[1].lower() if m else None for m in found], pa.string())
+                declared = pa.array(map(declared_language, pages), pa.string())
                 texts = pa.array(map(plain, pages), pa.string())
             cells, firsts = trigrams(texts)
             scores = np.zeros((batch.num_rows, model.weights.shape[1]))
@@ -184,8 +239,11 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, id_col: str = "
     known = F.create_map(*(F.lit(x) for pair in _ENDINGS.items() for x in pair))
     suffix = F.coalesce(F.try_element_at(known, ending), F.nullif(path, F.lit(""))) \
         if url_col else null
-    declared = F.lower(F.substring(F.col(declared_col).cast("string"), 1, 2)) \
-        if declared_col else null
+    declared = null
+    if declared_col:
+        primary = F.regexp_extract(F.lower(F.col(declared_col).cast("string")), r"^\s*([a-z]+)", 1)
+        codes = F.create_map(*(F.lit(x) for pair in _CODES.items() for x in pair))
+        declared = F.coalesce(F.try_element_at(codes, primary), primary)
     carried = ["doc_id", "host", "domain", "suffix"]
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(host, F.lit("")).alias("host"),
