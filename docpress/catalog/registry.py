@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docpress.functions.parsing import FRAME_ID
 from docpress.functions.payload import TIMESTAMP_FORMAT, row_json
 from docpress.functions.sizes import original_size, size_ratio
+from docpress.operators.layout import partitions_for_bytes, planned_bytes
 from docpress.scratch import scratch_path
 from docpress.sources.messages import file_frames
 
@@ -19,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-# Files in which a slice of the event stream lands.
+# Files in which a slice of the event stream lands, at least.
 FILES_PER_SLICE = 3
 
 # Processing time of every checked run.
@@ -118,7 +119,7 @@ FRAMES_SQL = """
 SLICES = 4
 _SLICE = "(us - lo) * {n} {div} (hi - lo + 1)"
 EVENT_SLICES_SQL = f"""
-    select e.*, {_SLICE.format(n=SLICES, div="//")} as slice
+    select e.*, coalesce({_SLICE.format(n=SLICES, div="//")}, 0) as slice
     from (select *, epoch_us(ts) as us from events) e,
          (select min(epoch_us(ts)) as lo, max(epoch_us(ts)) as hi from events)
 """
@@ -139,8 +140,10 @@ def replay_events(spark: SparkSession, sf_dir: str, start: Callable[[DataFrame],
     sliced = events.withColumns({"us": us, "lo": F.lit(bounds["lo"]), "hi": F.lit(bounds["hi"])}
                                 ).withColumn("slice", number).drop("us", "lo", "hi")
     path = scratch_path(spark, "event-slices")
+    files = max(FILES_PER_SLICE, partitions_for_bytes(planned_bytes(events) // SLICES))
     for n in range(SLICES):
-        (sliced.where(F.col("slice") == n).drop("slice").repartition(FILES_PER_SLICE)
+        # Events without a time come with the first slice.
+        (sliced.where(F.coalesce("slice", F.lit(0)) == n).drop("slice").repartition(files)
          .write.mode("append").parquet(path))
         frames = file_frames(spark, path, schema=events.schema,
                              max_files_per_trigger=max_files_per_trigger)

@@ -6,10 +6,11 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from docpress.catalog.registry import (
-    AS_OF, DOCUMENT_PAYLOAD_SQL, SIZED_DOCUMENTS_SQL, SIZED_EVENTS_SQL, query, sized_documents,
-    sized_events, table, table_path)
+    AS_OF, DOCUMENT_PAYLOAD_SQL, EVENT_SLICES_SQL, SIZED_DOCUMENTS_SQL, SIZED_EVENTS_SQL, query,
+    replay_events, sized_documents, sized_events, table, table_path)
 from docpress.functions.payload import row_json
 from docpress.functions.sizes import original_size
 from docpress.operators.documents import batch_documents, stamp
@@ -22,6 +23,7 @@ from docpress.operators.stats import storage_stats
 from docpress.operators.unique import UniqueAppend, unique_append
 from docpress.scratch import scratch_path
 from docpress.sources.collection import read_collection
+from docpress.streaming.unique import start_unique
 
 
 @query("collection_scan", f"""
@@ -85,6 +87,50 @@ def unique_append_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _append_events(spark, sf_dir).rejected
 
 
+# A slice of event time is a batch; of a user's events the first of the first slice wins.
+_STREAMED_SQL = f"""
+    with incoming as (
+        select user_id::varchar as _id, event_id, value, slice::bigint as batch_id,
+               row_number() over (partition by user_id order by slice, event_id) as place,
+               user_id in (select s_suppkey from supplier) as taken
+        from ({EVENT_SLICES_SQL}))
+    select _id, event_id, value, batch_id from incoming
+"""
+
+
+def _stream_unique(spark: SparkSession, sf_dir: str, wanted: str) -> DataFrame:
+    """Events keyed by user, streamed to where a batch job has stored the supplier keys.
+
+    Each slice of events is drained by a query of its own with the same checkpoint.
+    """
+    path, rejected, checkpoint = (scratch_path(spark, f"unique-{x}") for x in ("kept", "rest", "at"))
+    supplier = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("_id"), F.lit(None).cast("bigint").alias("event_id"),
+        F.lit(None).cast("double").alias("value"), F.lit("batch job").alias("query_id"),
+        F.lit(-1).cast("bigint").alias("batch_id"))
+    supplier.write.partitionBy("query_id", "batch_id").parquet(path)
+
+    def start(events: DataFrame) -> StreamingQuery:
+        documents = events.select(F.col("user_id").cast("string").alias("_id"), "event_id", "value")
+        return start_unique(documents, path, rejected, checkpoint, order_by=["event_id"],
+                            available_now=True)
+
+    replay_events(spark, sf_dir, start, max_files_per_trigger=None)
+    rows = read_collection(spark, path if wanted == "accepted" else rejected)
+    return rows.where(F.col("query_id") != "batch job").select(
+        "_id", "event_id", "value", F.col("batch_id").cast("bigint").alias("batch_id"))
+
+
+@query("stream_unique_accepted", _STREAMED_SQL + " where place = 1 and not taken")
+def stream_unique_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream_unique(spark, sf_dir, "accepted")
+
+
+@query("stream_unique_rejected", _STREAMED_SQL + " where place > 1 or taken")
+def stream_unique_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream_unique(spark, sf_dir, "rejected")
+
+
 @query("publish_frames", """
     select coalesce(sensor_id, 'default_' || (row_number() over (order by event_id) - 1)::varchar)
                as key,

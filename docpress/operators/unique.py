@@ -25,12 +25,14 @@ KEY_OVERHEAD_BYTES = 64
 class UniqueAppend:
     """Rows that landed and rows whose key was taken, both readable afterwards.
 
-    ``written`` holds what was observed of the rows while they landed.
+    ``written`` holds what was observed of the rows while they landed, ``scratch`` the
+    folders that both are read from.
     """
 
     accepted: DataFrame
     rejected: DataFrame
     written: dict[str, object] = field(default_factory=dict)
+    scratch: tuple[str, ...] = ()
 
 
 def split_by_key(documents: DataFrame, existing: DataFrame, *, key: str = "_id",
@@ -51,7 +53,8 @@ def split_by_key(documents: DataFrame, existing: DataFrame, *, key: str = "_id",
        or those of the losers, whichever are fewer. When the fewer are few enough
        for Spark's own broadcast limit, the wide rows are not shuffled at all.
     """
-    staged = _stored(documents.withColumn(_ROW, F.monotonically_increasing_id()), "staged")
+    folders: list[str] = []
+    staged = _stored(documents.withColumn(_ROW, F.monotonically_increasing_id()), "staged", folders)
 
     # A plain number keeps the aggregate hash-based; a struct makes it sort.
     rank = F.struct(*order_by, _ROW) if order_by else F.col(_ROW)
@@ -63,16 +66,17 @@ def split_by_key(documents: DataFrame, existing: DataFrame, *, key: str = "_id",
              .agg(F.min("rank").alias("rank"), F.max("taken").alias("taken"))
              .where(~F.col("taken")))
     winners = _stored(first.select(F.col(f"rank.{_ROW}" if order_by else "rank").alias(_ROW)),
-                      "winners")
+                      "winners", folders)
     n_winners, n_rows = winners.count(), staged.count()
     if n_winners == n_rows:
         landed, refused = staged, staged.where(F.lit(False))
     elif 2 * n_winners <= n_rows:
         landed, refused = (staged.join(winners, _ROW, how) for how in ("left_semi", "left_anti"))
     else:
-        losers = _stored(staged.select(_ROW).join(winners, _ROW, "left_anti"), "losers")
+        losers = _stored(staged.select(_ROW).join(winners, _ROW, "left_anti"), "losers", folders)
         landed, refused = (staged.join(losers, _ROW, how) for how in ("left_anti", "left_semi"))
-    return UniqueAppend(accepted=landed.drop(_ROW), rejected=refused.drop(_ROW))
+    return UniqueAppend(accepted=landed.drop(_ROW), rejected=refused.drop(_ROW),
+                        scratch=tuple(folders))
 
 
 def _relevant(held: DataFrame, offered: DataFrame, key: str) -> DataFrame:
@@ -85,9 +89,10 @@ def _relevant(held: DataFrame, offered: DataFrame, key: str) -> DataFrame:
     return held.join(F.broadcast(keys), F.col(key).eqNullSafe(F.col("offered_key")), "left_semi")
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    """The frame written to the shared scratch folder and read back."""
+def _stored(df: DataFrame, label: str, folders: list[str]) -> DataFrame:
+    """The frame written to a shared scratch folder, noted in ``folders``, and read back."""
     path = scratch_path(df.sparkSession, label)
+    folders.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

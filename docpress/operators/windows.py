@@ -104,9 +104,14 @@ def documents_total(documents: DataFrame, *, width: int = RATE_WINDOW_SECONDS,
     there are. Documents without a time come first, with a NULL window, so that
     the series ends with all documents.
     """
-    counts = (documents.groupBy(_bucket(documents, ts, width).alias("window"))
-              .agg(F.count(F.lit(1)).alias("n_docs"))
-              .select(F.col("window.start").alias("window_start"), "n_docs")
+    counts = documents.groupBy(_bucket(documents, ts, width).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n_docs"))
+    return running_total(counts)
+
+
+def running_total(buckets: DataFrame) -> DataFrame:
+    """The series of :func:`documents_total` from buckets (``bucket``, ``n_docs``)."""
+    counts = (buckets.select(F.col("bucket.start").alias("window_start"), "n_docs")
               .withColumn("_day", F.to_date("window_start")))
     earlier_days = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = (counts.groupBy("_day").agg(F.sum("n_docs").alias("_n"))

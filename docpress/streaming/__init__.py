@@ -1,6 +1,7 @@
 """Structured Streaming jobs."""
 
 from docpress.streaming.ingest import start_ingest
-from docpress.streaming.rates import rate_stream, start_rates
+from docpress.streaming.rates import rate_stream, start_rates, start_totals
+from docpress.streaming.unique import start_unique
 
-__all__ = ["rate_stream", "start_ingest", "start_rates"]
+__all__ = ["rate_stream", "start_ingest", "start_rates", "start_totals", "start_unique"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docpress.operators.windows import (
-    RATE_STEP_SECONDS, RATE_WINDOW_SECONDS, rate_columns, slide, time_buckets)
+    RATE_STEP_SECONDS, RATE_WINDOW_SECONDS, rate_columns, running_total, slide, time_buckets)
 from docpress.streaming.ingest import TRIGGER_SECONDS, triggered
 
 VERSION = "version"
@@ -63,6 +63,7 @@ def start_rates(documents: DataFrame, path: str, checkpoint: str, *, complete: b
                        else slide(batch, width=width, step=step))
             (rate_columns(windows, width).write.mode("overwrite")
              .parquet(f"{path}/{VERSION}={batch_id:020d}"))
+            drop_versions(batch.sparkSession, path, batch_id - 1)
 
         writer = buckets.writeStream.foreachBatch(rewrite).outputMode("complete")
     writer = triggered(writer.option("checkpointLocation", checkpoint), available_now,
@@ -71,6 +72,46 @@ def start_rates(documents: DataFrame, path: str, checkpoint: str, *, complete: b
         return writer.start()
 
 
+def start_totals(documents: DataFrame, path: str, checkpoint: str, *,
+                 width: int = RATE_WINDOW_SECONDS, ts: str = "timestamp",
+                 trigger_seconds: int = TRIGGER_SECONDS, available_now: bool = False,
+                 state_partitions: int | None = None) -> StreamingQuery:
+    """Store the running number of documents, whole after every micro-batch.
+
+    The state is one count for each window that has documents; a late document raises
+    the totals of all later windows, so each trigger adds them up anew, by day and then
+    over the days (:func:`docpress.operators.windows.running_total`). Rows without a
+    time have the first window. Readers use :func:`read_rates`.
+    """
+    stamped = documents.withColumn(ts, F.col(ts).cast("timestamp"))
+    # A stream's windows leave rows without a time out; as a plain start they stay.
+    micros = F.unix_micros(ts)
+    start = F.timestamp_micros(micros - F.pmod(micros, F.lit(width * 1_000_000)))
+    counts = stamped.groupBy(start.alias("start")).agg(F.count(F.lit(1)).alias("n_docs"))
+
+    def rewrite(batch: DataFrame, batch_id: int) -> None:
+        buckets = batch.select(F.struct("start").alias("bucket"), "n_docs")
+        (running_total(buckets).write.mode("overwrite")
+         .parquet(f"{path}/{VERSION}={batch_id:020d}"))
+        drop_versions(batch.sparkSession, path, batch_id - 1)
+
+    writer = counts.writeStream.foreachBatch(rewrite).outputMode("complete")
+    writer = triggered(writer.option("checkpointLocation", checkpoint), available_now,
+                       trigger_seconds)
+    with _shuffle_partitions(documents.sparkSession, state_partitions):
+        return writer.start()
+
+
+def drop_versions(spark: SparkSession, path: str, before: int) -> None:
+    """Delete the versions older than ``before``; readers are at the newest or the one before."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(jvm.Path(path)):
+        name = status.getPath().getName()
+        if name.startswith(f"{VERSION}=") and int(name.removeprefix(f"{VERSION}=")) < before:
+            files.delete(status.getPath(), True)
+
+
 def read_rates(spark: SparkSession, path: str) -> DataFrame:
     """The newest whole series that complete mode wrote."""
     newest = latest_version(spark, path)

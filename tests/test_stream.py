@@ -2,16 +2,18 @@ from __future__ import annotations
 
 import datetime as dt
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from docpress.operators.documents import frame_documents
 from docpress.operators.stats import batch_stats
-from docpress.operators.windows import processing_rate
+from docpress.operators.windows import documents_total, processing_rate
 from docpress.plans.stream import run_stream
 from docpress.sources.messages import file_frames
-from docpress.streaming.rates import read_rates, start_rates
+from docpress.streaming.rates import read_rates, start_rates, start_totals
+from docpress.streaming.unique import start_unique
 
 AS_OF = "2024-02-01 00:00:00"
 START = dt.datetime(2024, 1, 1)
@@ -176,3 +178,51 @@ def test_frames_without_a_place_are_named_by_what_they_hold(spark, at):
     first, again = (sorted(r["_id"] for r in frame_documents(frames).select("_id").collect())
                     for _ in range(2))
     assert first == again and len(set(first)) == 3
+
+
+def _land(spark, path, rows):
+    spark.createDataFrame(rows, "_id string, n long, at string").selectExpr(
+        "_id", "n", "cast(at as timestamp) as timestamp").coalesce(1).write.mode("append").parquet(path)
+
+
+def _from(spark, path):
+    return spark.readStream.schema("_id string, n long, timestamp timestamp").parquet(path)
+
+
+def test_stream_ids_are_taken_once(spark, at):
+    """By a batch job, by earlier batches, and inside a batch; a batch that runs again changes nothing."""
+    source, kept, rest, checkpoint = at("in"), at("kept"), at("rest"), at("checkpoint")
+    spark.createDataFrame([("a", 0)], "_id string, n long").write.parquet(f"{kept}/query_id=job/batch_id=0")
+    for rows in ([("a", 1), ("b", 2), ("b", 3)], [("b", 4), ("c", 5), (None, 6), (None, 7)]):
+        _land(spark, source, [(i, n, None) for i, n in rows])
+        start_unique(_from(spark, source), kept, rest, checkpoint, order_by=["n"],
+                     available_now=True).awaitTermination()
+
+    def numbers(path):
+        return sorted(r["n"] for r in spark.read.parquet(path).select("n").collect())
+
+    assert numbers(kept) == [0, 2, 5, 6] and numbers(rest) == [1, 3, 4, 7]
+    # The last batch's commit is lost: it runs again after the restart.
+    Path(f"{checkpoint}/commits/1").unlink()
+    Path(f"{checkpoint}/commits/.1.crc").unlink(missing_ok=True)
+    start_unique(_from(spark, source), kept, rest, checkpoint, order_by=["n"],
+                 available_now=True).awaitTermination()
+    assert numbers(kept) == [0, 2, 5, 6] and numbers(rest) == [1, 3, 4, 7]
+
+
+def test_running_total_counts_late_and_untimed_rows(spark, at):
+    source, path, checkpoint = at("in"), at("totals"), at("checkpoint")
+    day = "2024-01-0{} 00:0{}:00".format
+    batches = ([day(2, 1), day(2, 7), None], [day(1, 0), day(2, 8)], [day(3, 0)], [None])
+    rows = [("x", n, t) for n, t in enumerate(t for b in batches for t in b)]
+    for batch in batches:
+        _land(spark, source, [rows.pop(0) for _ in batch])
+        start_totals(_from(spark, source), path, checkpoint, available_now=True,
+                     state_partitions=2).awaitTermination()
+        found = read_rates(spark, path)
+        everything = spark.read.parquet(source)
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(
+            map(tuple, documents_total(everything).collect()), key=str)
+    assert found.agg({"total_docs": "max"}).first()[0] == 7
+    # Older versions go; the one before the newest stays for its readers.
+    assert len(list(Path(path).glob("version=*"))) == 2
