@@ -10,8 +10,9 @@ from docpress.catalog.registry import (
     SIZED_EVENTS_SQL, SLICES, mean_digits, mean_digits_sql, query, replay_events, seconds,
     sized_events, table)
 from docpress.operators import windows as W
+from docpress.operators.counters import counter_rate
 from docpress.scratch import scratch_path
-from docpress.streaming.rates import read_rates, start_rates
+from docpress.streaming.rates import read_rates, start_rates, start_totals
 
 DAY = 24 * 3600
 # The events span 30 days.
@@ -70,12 +71,15 @@ def ratio_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
         mean_digits("avg_ratio").alias("avg_ratio"), "n_docs")
 
 
-@query("documents_total", """
+_TOTAL_SQL = """
     select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, n_docs,
            (sum(n_docs) over (order by w))::bigint as total_docs
     from (select time_bucket(interval '5 minutes', ts) as w, count(*) as n_docs
           from events group by 1)
-""")
+"""
+
+
+@query("documents_total", _TOTAL_SQL)
 def documents_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.documents_total(_events(spark, sf_dir)).withColumn(
         "window_start", seconds("window_start"))
@@ -95,6 +99,37 @@ def documents_total_untimed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "window_start", seconds("window_start"))
 
 
+# Events are dealt to a few counters, one of which has a third of them and more; a value
+# below the one before it means that the counter began anew.
+_SERIES = 5
+
+
+@query("counter_rate", f"""
+    with samples as (
+        select case when user_id % 2 = 0 then 0 else user_id % {_SERIES} end as series, ts, event_id,
+               cast(floor(value * 100) as bigint) as total from events),
+    steps as (
+        select *, lag(total) over (partition by series order by ts nulls first, event_id) as before
+        from samples),
+    grown as (
+        select series, time_bucket(interval '5 minutes', ts) as w,
+               case when before is null then 0 when total >= before then total - before
+                    else total end as increase,
+               case when total < before then 1 else 0 end as reset
+        from steps)
+    select series, strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, count(*) as n_samples,
+           sum(increase)::bigint as increase, sum(reset)::bigint as resets,
+           sum(increase)::double / 300.0 as per_sec
+    from grown group by series, w
+""")
+def counter_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = table(spark, sf_dir, "events").select(
+        F.when(F.col("user_id") % 2 == 0, 0).otherwise(F.col("user_id") % _SERIES).alias("series"),
+        "ts", "event_id", F.floor(F.col("value") * 100).alias("total"))
+    rates = counter_rate(samples, series="series", value="total", ts="ts", order_by=["event_id"])
+    return rates.withColumn("window_start", seconds("window_start"))
+
+
 def _stream_rates(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
     path, checkpoint = scratch_path(spark, "rates"), scratch_path(spark, "rates-checkpoint")
     partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
@@ -124,3 +159,18 @@ def stream_rate_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     Files of a slice come in any order, so the bound is longer than a slice.
     """
     return _stream_rates(spark, sf_dir, width=DAY, step=DAY, late_seconds=LATE_DAYS * DAY)
+
+
+@query("stream_documents_total", _TOTAL_SQL)
+def stream_documents_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running total after the last of four slices, each of them a restart."""
+    path, checkpoint = scratch_path(spark, "totals"), scratch_path(spark, "totals-checkpoint")
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                     2 * spark.sparkContext.defaultParallelism)
+
+    def start(events: DataFrame) -> StreamingQuery:
+        return start_totals(sized_events(events), path, checkpoint, available_now=True,
+                            state_partitions=partitions)
+
+    replay_events(spark, sf_dir, start)
+    return read_rates(spark, path).withColumn("window_start", seconds("window_start"))

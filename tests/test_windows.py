@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from docpress.operators.counters import counter_rate
 from docpress.operators.windows import (
     documents_total, processing_rate, ratio_by_window, slide, time_buckets)
 from tests.plans import final, physical
@@ -102,3 +104,31 @@ def test_documents_without_a_time_are_kept(spark):
     for step in (30, 300):
         untimed = processing_rate(df, step=step).where("window_start is null").collect()
         assert [(r["n_docs"], r["n_bytes"]) for r in untimed] == [(2, 8)]
+
+
+def test_counter_rate_over_windows_spans_and_resets(spark):
+    """Against one scan of each series; NULL times, values and series included."""
+    rng = random.Random(1)
+    rows = []
+    for n in range(3000):
+        series = rng.choice(["hot", "hot", "hot", "cold", None])
+        at = None if rng.random() < 0.05 else rng.randrange(60 * 86400)
+        rows.append((series, at, None if rng.random() < 0.05 else rng.randrange(1000), n))
+    want, last = {}, {}
+    for series, at, value, n in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[3])):
+        window = None if at is None else at - at % 300
+        cell = want.setdefault((series, window), [0, 0, 0])
+        cell[0] += 1
+        if value is not None:
+            before = last.get(series)
+            if before is not None:
+                cell[1] += value - before if value >= before else value
+                cell[2] += value < before
+            last[series] = value
+    df = spark.createDataFrame(rows, "series string, at long, value long, n long").selectExpr(
+        "series", "timestamp_seconds(at) as timestamp", "value", "n")
+    found = counter_rate(df, series="series", value="value", order_by=["n"]).selectExpr(
+        "series", "unix_seconds(window_start) as at", "n_samples", "increase", "resets", "per_sec")
+    got = {(r["series"], r["at"]): [r["n_samples"], r["increase"], r["resets"]] for r in found.collect()}
+    assert got == want
+    assert counter_rate(df.limit(0), series="series", value="value").collect() == []
