@@ -72,14 +72,15 @@ def scan_json_gz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("input_inventory", """
-    select count(distinct n_regionkey) as n_files, sum(strlen(to_json(n)::varchar) + 1)::bigint
-        as n_bytes
-    from nation n
+    select count(distinct (source, doc_id % 4)) as n_files,
+           sum(strlen(to_json(d)::varchar) + 1)::bigint as n_bytes
+    from documents d
 """)
-def inventory_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder of JSON lines with one file for each region."""
-    nation = table(spark, sf_dir, "nation")
-    path = scratch_path(spark, "nations")
-    (nation.select(row_json(nation.columns).alias("value"), F.col("n_regionkey").alias("region"))
-     .repartition("region").write.partitionBy("region").text(path))
+def inventory_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of JSON lines with four files for each source."""
+    documents = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "landing")
+    (documents.select(row_json(documents.columns).alias("value"), F.col("source").alias("of"),
+                      (F.col("doc_id") % 4).alias("salt"))
+     .repartition("of", "salt").write.partitionBy("of", "salt").text(path))
     return input_inventory(spark, path).select("n_files", "n_bytes")

@@ -215,16 +215,17 @@ def hash_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("storage_size", """
-    select count(*) as n_docs, count(distinct n_regionkey) as n_files, true as has_bytes
-    from nation
+    select count(*) as n_docs, count(distinct (source, doc_id % 4)) as n_files, true as has_bytes
+    from documents
 """)
 def storage_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A collection with one file for each region: documents, files and bytes on disk."""
-    nation = table(spark, sf_dir, "nation")
-    path = scratch_path(spark, "nations")
-    documents = batch_documents(nation, id_col="n_nationkey", as_of=AS_OF)
-    regions = nation.select(F.col("n_nationkey").cast("string").alias("_id"), "n_regionkey")
-    (documents.join(regions, "_id").repartition("n_regionkey")
-     .write.partitionBy("n_regionkey").parquet(path))
+    """A collection with four files for each source: documents, files and bytes on disk."""
+    rows = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "by-source")
+    documents = batch_documents(rows, id_col="doc_id", as_of=AS_OF)
+    parts = rows.select(F.col("doc_id").cast("string").alias("_id"), "source",
+                        (F.col("doc_id") % 4).alias("salt"))
+    (documents.join(parts, "_id").repartition("source", "salt")
+     .write.partitionBy("source", "salt").parquet(path))
     return storage_stats(spark, path).select(
         "n_docs", "n_files", (F.col("disk_bytes") > F.col("logical_bytes")).alias("has_bytes"))
