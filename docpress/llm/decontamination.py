@@ -25,6 +25,8 @@ BLOCKS = 8
 # through to the search; it never loses one.
 FILTER_BITS_EACH = 32
 FILTER_BITS_MOST = 27
+# Shingles unfolded at once: 64 bytes each while they are fingerprinted.
+PIECE = 1 << 18
 
 _WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
                   for b in range(256)])
@@ -186,6 +188,26 @@ def windows_of(words: np.ndarray, firsts: np.ndarray, size: int, table: np.ndarr
     return tuple(np.concatenate(x).astype(np.int64) for x in (found_doc, found_at, found_size))
 
 
+def first_of_equal(doc: np.ndarray, at: np.ndarray, counts: np.ndarray,
+                   sums: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of each text's windows with the same shingles the first, in order.
+
+    ``sums`` are running sums of two hashes of the shingles, so that the difference of two
+    of them is a hash of the multiset between, however long the window is.
+    """
+    keys = np.stack([doc.astype(np.uint64), *(s[at + counts] - s[at] for s in sums)], axis=1)
+    order = np.lexsort((at, keys[:, 2], keys[:, 1], keys[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+    return np.sort(order[new])
+
+
+def _running_sums(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.zeros(1, np.uint64)
+    return tuple(np.concatenate([start, np.cumsum(mix(grams ^ np.uint64(seed)), dtype=np.uint64)])
+                 for seed in (1, 2))
+
+
 def _window_maker(filter_table, sizes: list[int], similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table = SegmentHasher(), filter_table.value
@@ -196,22 +218,29 @@ def _window_maker(filter_table, sizes: list[int], similarity: float):
                 grams = rolling(words, width)
                 at = np.flatnonzero(_holds(table, grams))
                 doc = np.searchsorted(firsts, at, side="right") - 1
-                hits_of[width] = at[at + width <= firsts[doc + 1]], grams
+                hits = at[at + width <= firsts[doc + 1]]
+                hits_of[width] = hits, grams, _running_sums(grams) if len(hits) else None
             for size in sizes:
-                hits, grams = hits_of[min(size, SHINGLE)]
+                width = min(size, SHINGLE)
+                hits, grams, sums = hits_of[width]
                 if not len(hits):
                     continue
                 doc, at, n_words = windows_of(words, firsts, size, table, similarity, hits, grams)
-                if not len(doc):
-                    continue
-                owner, place = _expand(at, n_words - min(size, SHINGLE) + 1)
-                plain = grams[place]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").take(pa.array(doc)), pa.array(at - firsts[doc]),
-                     pa.array(n_words),
-                     pa.array(simhashes(owner, plain, len(doc)).view(np.int64)),
-                     _lists(owner, repeats_apart(owner, plain), len(doc))],
-                    names=["key", "start", "n_words", "fp", "shingles"])
+                kept = first_of_equal(doc, at, n_words - width + 1, sums)
+                doc, at, n_words = doc[kept], at[kept], n_words[kept]
+                counts = n_words - width + 1
+                piece = (np.cumsum(counts) - 1) // PIECE
+                for part in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(piece)) + 1):
+                    if not len(part):
+                        continue
+                    owner, place = _expand(at[part], counts[part])
+                    plain = grams[place]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("key").take(pa.array(doc[part])),
+                         pa.array(at[part] - firsts[doc[part]]), pa.array(n_words[part]),
+                         pa.array(simhashes(owner, plain, len(part)).view(np.int64)),
+                         _lists(owner, repeats_apart(owner, plain), len(part))],
+                        names=["key", "start", "n_words", "fp", "shingles"])
 
     return run
 
@@ -256,7 +285,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     and looked up: fingerprints at most ``radius`` bits apart agree in one of
     ``blocks`` blocks within ``radius // blocks`` bits, and items are indexed under all
     those values. The exact likeness verifies each candidate. Windows with the same
-    shingles are looked up and verified once, however many documents hold them.
+    shingles are looked up and verified once, however many documents hold them; of those
+    of one text only the first is made at all, and windows are unfolded a bounded number
+    of shingles at a time, so a text that repeats an item takes no more memory.
 
     NULL and empty texts and items without a word match nothing. NULL ids, of documents
     or items, are returned as NULL, as one id; repeated rows, of documents or items, give

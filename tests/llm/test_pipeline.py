@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -91,3 +92,34 @@ def test_leaks_with_distant_fingerprints_are_found(docs):
         docs([(n, near_by[n]) for n in at]),
         docs([(n, items[n]) for n in at]).withColumnRenamed("doc_id", "item_id"))
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(n, n) for n in at}
+
+
+class Shared:
+    """A broadcast value on the driver."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def test_a_text_that_repeats_an_item_takes_bounded_memory(monkeypatch):
+    """op4: 2 MB of one 100-word item; every word starts a window that is alike."""
+    rng = random.Random(4)
+    item = " ".join(f"word{rng.randrange(10**6)}" for _ in range(100))
+    batch = pa.RecordBatch.from_pydict({"item_id": [1], "text": [item]})
+    plain = next(decontamination._items(iter([batch]))).column("plain").flatten().to_numpy()
+    grams = plain.view(np.uint64)
+    table = np.zeros(1 << 10, np.uint64)
+    for h in (*grams, *decontamination._sized(grams, 100)):
+        table[int(h) % (1 << 16) >> 6] |= np.uint64(1) << (h & np.uint64(63))
+    text = pa.RecordBatch.from_pydict({"key": [7], "text": [" ".join([item] * (2 * 10**6 // len(item)))]})
+    tracemalloc.start()
+    out = list(decontamination._window_maker(Shared(table), [100], 0.8)(iter([text])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    starts = np.concatenate([b.column("start").to_numpy() for b in out])
+    assert starts.tolist() == list(range(100))  # one rotation of the item each
+
+    monkeypatch.setattr(decontamination, "PIECE", 1000)
+    pieces = list(decontamination._window_maker(Shared(table), [100], 0.8)(iter([text])))
+    assert len(pieces) > 5 and pa.Table.from_batches(pieces).equals(pa.Table.from_batches(out))
