@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docpress.llm.common import LAST_ID, order_id, slices, stored
-from docpress.llm.segments import SegmentHasher, joined_words, mix, text_bytes
+from docpress.llm.segments import (
+    SegmentHasher, add_votes, joined_words, majority, mix, text_bytes)
 from docpress.llm.substrings import rolling
 
 SHINGLE = 5
@@ -25,8 +26,8 @@ BLOCKS = 8
 # through to the search; it never loses one.
 FILTER_BITS_EACH = 32
 FILTER_BITS_MOST = 27
-# Shingles unfolded at once: 64 bytes each while they are fingerprinted.
-PIECE = 1 << 18
+# Shingles unfolded at once.
+PIECE = 1 << 17
 
 _WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
                   for b in range(256)])
@@ -63,16 +64,9 @@ def repeats_apart(owner: np.ndarray, shingles: np.ndarray) -> np.ndarray:
 
 def simhashes(owner: np.ndarray, shingles: np.ndarray, owners: int) -> np.ndarray:
     """SimHash of each owner's shingles, one vote for each occurrence."""
-    out = np.zeros(owners, np.uint64)
-    if len(shingles):
-        bits = np.unpackbits(mix(shingles).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1,
-                             bitorder="little")
-        starts = np.flatnonzero(np.diff(owner, prepend=-1))
-        sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        counts = np.diff(np.append(starts, len(owner)))
-        out[owner[starts]] = np.packbits(2 * sums > counts[:, None], axis=1,
-                                         bitorder="little").view("<u8").ravel()
-    return out
+    votes = np.zeros((owners, 64), np.int32)
+    add_votes(votes, owner, mix(shingles))
+    return majority(votes, np.bincount(owner, minlength=owners))
 
 
 def _lists(owner: np.ndarray, values: np.ndarray, owners: int) -> pa.Array:

@@ -79,3 +79,25 @@ def joined_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray
     after[last[last >= 0]] = False
     ends = np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+# Hashes whose bits are spread out at once: 64 bytes each, and four times that in sums.
+VOTES_AT_ONCE = 1 << 15
+
+
+def add_votes(votes: np.ndarray, owner: np.ndarray, hashes: np.ndarray) -> None:
+    """Count for each owner how many of its hashes have each bit; owners ascend.
+
+    Bounded memory, however many hashes there are.
+    """
+    for lo in range(0, len(hashes), VOTES_AT_ONCE):
+        of = owner[lo:lo + VOTES_AT_ONCE]
+        bits = np.unpackbits(hashes[lo:lo + VOTES_AT_ONCE].astype("<u8").view(np.uint8)
+                             .reshape(-1, 8), axis=1, bitorder="little")
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        votes[of[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+
+
+def majority(votes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bits that over half of each owner's ``counts`` hashes have, as one value."""
+    return np.packbits(2 * votes > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from docpress.llm.common import (
     LAST_ID, by_row, narrow, order_id, row_mark, slices, stored, without)
 from docpress.llm.components import components
-from docpress.llm.segments import joined_words, text_bytes
+from docpress.llm.segments import (
+    VOTES_AT_ONCE, add_votes, joined_words, majority, text_bytes)
 
 BITS = 64
 HASH_SEED = 42
@@ -46,36 +47,30 @@ def lowered_words(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.nd
     return out.tobytes(), at[:-1], at[1:] - 1, firsts
 
 
-def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of every shingle of ``width`` words, and how many precede each text.
+def fingerprints_of(texts: pa.Array, width: int) -> np.ndarray:
+    """64-bit SimHash of each text: the bits set in over half of its shingle hashes.
 
-    A text with fewer words has one shingle, all its words; one without words none.
+    A shingle's hash is the XXH64 of ``width`` words; a text with fewer words has one
+    shingle, all its words, and one without words none, which gives zero. Shingles are
+    made and counted a bounded number at a time, so a long text takes no more than
+    its words do.
     """
     raw, starts, ends, firsts = lowered_words(texts)
     words = np.diff(firsts)
     counts = np.where(words >= width, words - width + 1, np.minimum(words, 1))
     before = np.concatenate([[0], np.cumsum(counts)])
-    first = np.repeat(firsts[:-1] - before[:-1], counts) + np.arange(before[-1])
-    last = np.minimum(first + width, np.repeat(firsts[1:], counts)) - 1
+    votes = np.zeros((len(counts), BITS), np.int64)
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(raw[a:b], HASH_SEED)
-              for a, b in zip(starts[first].tolist(), ends[last].tolist())]
-    return np.array(hashes, np.uint64), before
-
-
-def fingerprints_of(texts: pa.Array, width: int) -> np.ndarray:
-    """64-bit SimHash of each text: the bits set in over half of its shingle hashes."""
-    hashes, before = shingle_hashes(texts, width)
-    out = np.zeros(len(before) - 1, np.uint64)
-    counts = np.diff(before)
-    full = np.flatnonzero(counts)
-    if len(full):
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1,
-                             bitorder="little")
-        sums = np.add.reduceat(bits, before[:-1][full], axis=0, dtype=np.int64)
-        major = 2 * sums > counts[full, None]
-        out[full] = np.packbits(major, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    for lo in range(0, int(before[-1]), VOTES_AT_ONCE):
+        number = np.arange(lo, min(lo + VOTES_AT_ONCE, int(before[-1])))
+        owner = np.searchsorted(before, number, side="right") - 1
+        first = firsts[owner] + number - before[owner]
+        last = np.minimum(first + width, firsts[owner + 1]) - 1
+        spans = zip(starts[first].tolist(), ends[last].tolist())
+        hashes = np.fromiter((digest(raw[a:b], HASH_SEED) for a, b in spans), np.uint64,
+                             len(number))
+        add_votes(votes, owner, hashes)
+    return majority(votes, counts)
 
 
 def _fingerprinter(width: int):
