@@ -18,6 +18,9 @@ TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE_TOKENS = 1024
 END_ID = 0
 
+# Bytes of text encoded at once; a worker keeps for good what its largest slice took.
+TEXT_AT_ONCE = 1 << 19
+
 # A sequence id is its length class, then the task, then a running number.
 _TASK_BITS, _NUMBER_BITS = 24, 34
 
@@ -45,7 +48,7 @@ def _packer(path: str, size: int, end_id: int):
         encoder = worker_cache(f"encoder {path}", lambda: Encoder(path))
         task = TaskContext.get().partitionId() << _NUMBER_BITS
         numbers = [0] * size.bit_length()
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=TEXT_AT_ONCE):
             ids, ends = encoder.encode(batch.column("text"))
             rows = []
             for n, doc_id in enumerate(batch.column("doc_id").to_pylist()):
