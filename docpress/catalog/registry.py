@@ -126,24 +126,26 @@ EVENT_SLICES_SQL = f"""
 
 
 def replay_events(spark: SparkSession, sf_dir: str, start: Callable[[DataFrame], StreamingQuery],
-                  *, max_files_per_trigger: int | None = 1000) -> None:
+                  *, max_files_per_trigger: int | None = 1000,
+                  arrival: Callable[[Column], Column] = lambda number: number) -> None:
     """Stream the events: each slice of event time lands as files and is drained.
 
     However many files and micro-batches a slice makes, in whatever order, the events
     of a later slice come later. ``start`` starts a query over the stream of all files,
-    each time with the same checkpoint.
+    each time with the same checkpoint. ``arrival`` says in which slice an event
+    arrives, from that of its time.
     """
     events = table(spark, sf_dir, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     bounds = events.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
-    number = F.expr(_SLICE.format(n=SLICES, div="div"))
+    # Events without a time come with the first slice.
+    number = arrival(F.coalesce(F.expr(_SLICE.format(n=SLICES, div="div")), F.lit(0)))
     sliced = events.withColumns({"us": us, "lo": F.lit(bounds["lo"]), "hi": F.lit(bounds["hi"])}
                                 ).withColumn("slice", number).drop("us", "lo", "hi")
     path = scratch_path(spark, "event-slices")
     files = max(FILES_PER_SLICE, partitions_for_bytes(planned_bytes(events) // SLICES))
     for n in range(SLICES):
-        # Events without a time come with the first slice.
-        (sliced.where(F.coalesce("slice", F.lit(0)) == n).drop("slice").repartition(files)
+        (sliced.where(F.col("slice") == n).drop("slice").repartition(files)
          .write.mode("append").parquet(path))
         frames = file_frames(spark, path, schema=events.schema,
                              max_files_per_trigger=max_files_per_trigger)

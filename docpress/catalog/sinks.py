@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +16,9 @@ from docpress.functions.payload import row_json
 from docpress.functions.sizes import original_size
 from docpress.operators.documents import batch_documents, stamp
 from docpress.operators.layout import (
-    read_by_id, read_spread, write_by_id_hash, write_by_metric)
+    read_by_id, read_spread, store_bounds, write_by_id_hash, write_by_metric, write_by_metrics)
 from docpress.operators.publish import publish_ordered
-from docpress.operators.ranked import metric_range
+from docpress.operators.ranked import metric_range, top_k_by_bounds
 from docpress.operators.sinks import append_documents
 from docpress.operators.stats import storage_stats
 from docpress.operators.unique import UniqueAppend, unique_append
@@ -229,3 +230,54 @@ def storage_size(spark: SparkSession, sf_dir: str) -> DataFrame:
      .write.partitionBy("source", "salt").parquet(path))
     return storage_stats(spark, path).select(
         "n_docs", "n_files", (F.col("disk_bytes") > F.col("logical_bytes")).alias("has_bytes"))
+
+
+# One collection of events in a common order of four metrics, read by each of them.
+_METRICS = ("timestamp", "original_size", "compressed_size", "compression_ratio")
+
+
+def _common(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "by-all")
+    write_by_metrics(sized_events(table(spark, sf_dir, "events")), path, _METRICS,
+                     partitions=4 * spark.sparkContext.defaultParallelism)
+    return path
+
+
+@query("range_lookup_common", f"""
+    with d as ({SIZED_EVENTS_SQL})
+    select 'timestamp' as metric, _id from d
+    where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-12'
+    union all select 'original_size', _id from d where original_size >= 53 and original_size < 54
+    union all select 'compressed_size', _id from d where compressed_size >= 8 and compressed_size < 9
+    union all select 'compression_ratio', _id from d
+    where compression_ratio >= 6 and compression_ratio < 6.2
+""")
+def range_lookup_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of four metrics from one stored order."""
+    ranges = zip(_METRICS, (datetime(2024, 1, 10), 53, 8, 6.0), (datetime(2024, 1, 12), 54, 9, 6.2))
+    rows = read_collection(spark, _common(spark, sf_dir))
+    return reduce(DataFrame.unionAll, (
+        metric_range(rows, metric, low, high).select(F.lit(metric).alias("metric"), "_id")
+        for metric, low, high in ranges))
+
+
+@query("topk_by_bounds", f"""
+    with d as ({SIZED_EVENTS_SQL})
+    select * from (select 'newest' as list, _id, original_size from d
+                   order by ts desc nulls last, _id limit 100)
+    union all select * from (select 'largest', _id, original_size from d
+                             order by original_size desc nulls last, _id limit 100)
+    union all select * from (select 'least', _id, original_size from d
+                             order by compression_ratio nulls last, _id limit 100)
+""")
+def topk_by_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three lists from one stored order; the bounds of its files tell what to read."""
+    path, bounds_path = _common(spark, sf_dir), scratch_path(spark, "bounds")
+    store_bounds(spark, path, bounds_path, _METRICS)
+    rows, bounds = read_collection(spark, path), spark.read.parquet(bounds_path)
+    lists = (("newest", "timestamp", False), ("largest", "original_size", False),
+             ("least", "compression_ratio", True))
+    return reduce(DataFrame.unionAll, (
+        top_k_by_bounds(rows, bounds, metric, 100, ascending=ascending).select(
+            F.lit(name).alias("list"), "_id", "original_size")
+        for name, metric, ascending in lists))

@@ -11,6 +11,7 @@ from docpress.catalog.registry import (
 from docpress.operators import stats as S
 from docpress.operators.gates import check
 from docpress.operators.ranked import top_k
+from docpress.scratch import scratch_path
 
 _STATS_SQL = f"""
     count(*) as n_docs, {mean_digits_sql("avg(compression_ratio)")} as avg_ratio,
@@ -33,6 +34,30 @@ def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(S.collection_stats(sized_documents(spark, sf_dir)), "avg_ratio", "overall_ratio")
 
 
+@query("stats_from_commits", f"""
+    select {_STATS_SQL},
+           {mean_digits_sql("sum(original_size)::double / nullif(sum(compressed_size), 0)")}
+               as overall_ratio, true as median_fits
+    from ({SIZED_DOCUMENTS_SQL})
+""")
+def stats_from_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a collection from the partials of four commits, one of them stored twice."""
+    path, partials = scratch_path(spark, "commits"), scratch_path(spark, "partials")
+    documents = sized_documents(spark, sf_dir)
+    for part in (0, 1, 2, 3, 1):
+        mine = F.pmod(F.coalesce(F.col("_id").cast("bigint"), F.lit(0)), F.lit(4)) == part
+        S.append_with_partial(documents.where(mine), path, partials, f"part-{part}")
+    merged = S.merged_stats(spark.read.parquet(partials), (0.5,))
+    # At least 47 % of the values lie on either side of the sketches' median, itself included.
+    median = merged.first()["ratio_quantiles"]
+    value, middle = F.col("compression_ratio"), F.lit(median[0] if median else None)
+    fits = spark.read.parquet(path).agg(
+        (F.count_if(value <= middle) >= 0.47 * F.count(value))
+        & (F.count_if(value >= middle) >= 0.47 * F.count(value))).first()[0]
+    return _rounded(merged.drop("ratio_quantiles").withColumn("median_fits", F.lit(fits)),
+                    "avg_ratio", "overall_ratio")
+
+
 @query("logical_size", f"""
     select count(*) as n_docs, sum(compressed_size)::bigint as logical_bytes
     from ({SIZED_DOCUMENTS_SQL})

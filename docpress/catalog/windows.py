@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docpress.catalog.registry import (
-    SIZED_EVENTS_SQL, SLICES, mean_digits, mean_digits_sql, query, replay_events, seconds,
+    EVENT_SLICES_SQL, SIZED_EVENTS_SQL, SLICES, mean_digits, mean_digits_sql, query, replay_events, seconds,
     sized_events, table)
 from docpress.operators import windows as W
 from docpress.operators.counters import counter_rate
 from docpress.scratch import scratch_path
+from docpress.streaming.late import read_timely, start_timely, window_account
 from docpress.streaming.rates import read_rates, start_rates, start_totals
 
 DAY = 24 * 3600
@@ -174,3 +175,60 @@ def stream_documents_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     replay_events(spark, sf_dir, start)
     return read_rates(spark, path).withColumn("window_start", seconds("window_start"))
+
+
+# One event in seven arrives a slice after its time; a window of an hour waits for a day.
+_POSTPONED, _HOUR = 7, 3600
+
+_ARRIVED_SQL = f"""
+    with arrived as (
+        select event_id, ts, least(slice + (event_id % {_POSTPONED} = 0)::int, {SLICES - 1}) as batch
+        from ({EVENT_SLICES_SQL})),
+    marks as (
+        select batch, max(max(ts)) over (order by batch rows between unbounded preceding
+                                         and 1 preceding) as high
+        from arrived group by batch),
+    judged as (
+        select event_id, ts, batch, time_bucket(interval '1 hour', ts) as w,
+               coalesce(time_bucket(interval '1 hour', ts) + interval '1 hour'
+                        <= high - interval '1 day', false) as late
+        from arrived join marks using (batch))
+"""
+
+
+def _late_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    path, marks, checkpoint = (scratch_path(spark, f"timely-{x}") for x in ("rows", "marks", "at"))
+
+    def start(events: DataFrame) -> StreamingQuery:
+        documents = events.select("event_id", F.col("ts").alias("timestamp"))
+        return start_timely(documents, path, marks, checkpoint, late_seconds=DAY, width=_HOUR,
+                            available_now=True)
+
+    replay_events(spark, sf_dir, start, max_files_per_trigger=None, arrival=lambda number: F.least(
+        number + (F.col("event_id") % _POSTPONED == 0).cast("int"), F.lit(SLICES - 1)))
+    return read_timely(spark, path), marks
+
+
+@query("stream_late_rows", _ARRIVED_SQL + """
+    select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, batch::bigint as batch_id
+    from judged where late
+""")
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that came too late for their window, and with which batch."""
+    rows, _ = _late_stream(spark, sf_dir)
+    return rows.where("late").select("event_id", seconds("timestamp").alias("ts"),
+                                     F.col("batch_id").cast("bigint").alias("batch_id"))
+
+
+@query("stream_window_account", _ARRIVED_SQL + """
+    select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, count(*) filter (not late) as n_docs,
+           count(*) filter (late) as n_late,
+           coalesce(w + interval '1 hour' <= (select max(ts) from events) - interval '1 day', false)
+               as closed
+    from judged group by w
+""")
+def stream_window_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows on time and late of each window; together they are all events."""
+    rows, marks = _late_stream(spark, sf_dir)
+    return window_account(rows, marks, late_seconds=DAY, width=_HOUR).withColumn(
+        "window_start", seconds("window_start"))

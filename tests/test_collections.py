@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from docpress.errors import DuplicateKeyError
 from docpress.operators.documents import batch_documents
-from docpress.operators.layout import read_by_id, write_by_id_hash, write_by_metric
-from docpress.operators.ranked import metric_range, top_k
+from docpress.operators.layout import (
+    read_by_id, store_bounds, write_by_id_hash, write_by_metric, write_by_metrics)
+from docpress.operators.ranked import metric_range, top_k, top_k_by_bounds
 from docpress.operators.sinks import append_documents, document_store_options, write_micro_batch
 from docpress.operators.stats import (
-    batch_stats, collection_stats, logical_size, ratio_count_summary, storage_stats)
+    append_with_partial, batch_stats, collection_stats, logical_size, merged_stats,
+    ratio_count_summary, storage_stats)
 import docpress.operators.unique as unique
 from docpress.operators.unique import split_by_key, unique_append
 from tests.plans import physical
@@ -267,3 +269,85 @@ def test_reader_need_not_know_the_number_of_shards(spark, at):
     write_by_id_hash(documents.where("_id >= 50"), at("mixed"), shards=8, mode="append")
     wanted = [str(i) for i in range(40, 60)]
     assert sorted(r[0] for r in read_by_id(spark, at("mixed"), wanted).collect()) == wanted
+
+
+@pytest.fixture
+def measures(spark):
+    """Four metrics, one skewed, one with a value that a third of all rows have, some NULL."""
+    return spark.range(20_000).select(
+        F.col("id").cast("string").alias("_id"), F.pmod(F.xxhash64("id"), F.lit(10_000)).alias("a"),
+        F.exp(F.rand(1) * 12).alias("b"), F.when(F.col("id") % 3 > 0, F.rand(2)).otherwise(0.5).alias("c"),
+        F.when(F.col("id") % 50 > 0, F.timestamp_seconds(F.col("id") * 60)).alias("d"))
+
+
+def _boxes(spark, path, metric):
+    return spark.read.parquet(path).groupBy("_metadata.file_path").agg(
+        F.min(metric).alias("low"), F.max(metric).alias("high"))
+
+
+def test_common_layout_serves_ranges_of_each_metric(spark, measures, at):
+    """Four metrics that know nothing of each other: 256 files part each in four."""
+    stored = [(m, *measures.agg(F.percentile_approx(m, [0.4, 0.5])).first()[0]) for m in "abd"]
+    stored.append(("c", *measures.agg(F.percentile_approx("c", [0.1, 0.2])).first()[0]))
+    write_by_metrics(measures, at("z"), ["a", "b", "c", "d"], partitions=256)
+    back = spark.read.parquet(at("z"))
+    assert back.columns == measures.columns and back.count() == 20_000
+    assert back.exceptAll(measures).isEmpty()
+    for metric, low, high in stored:
+        boxes = _boxes(spark, at("z"), metric)
+        met = boxes.where((F.col("low") < F.lit(high)) & (F.col("high") >= F.lit(low)))
+        assert boxes.count() == 256 and met.count() < 128, metric
+
+
+@pytest.mark.parametrize(("metric", "ascending"), [("a", False), ("b", True), ("c", False), ("d", True)])
+def test_top_k_by_bounds_reads_few_files(spark, measures, at, metric, ascending):
+    write_by_metrics(measures, at("z"), ["a", "b", "c", "d"], partitions=64)
+    store_bounds(spark, at("z"), at("bounds"), ["a", "b", "c", "d"])
+    rows, bounds = spark.read.parquet(at("z")), spark.read.parquet(at("bounds"))
+    found = top_k_by_bounds(rows, bounds, metric, 20, ascending=ascending)
+    assert found.collect() == top_k(rows, metric, 20, ascending=ascending).collect()
+    limit = physical(found).split("PushedFilters: [")[1]
+    assert f"OrEqual({metric}," in limit
+    edge = found.agg(F.min(metric), F.max(metric)).first()
+    assert _boxes(spark, at("z"), metric).where(
+        F.col("low") <= F.lit(edge[1]) if ascending else F.col("high") >= F.lit(edge[0])).count() < 64
+    # More than there are values: rows without one follow.
+    assert top_k_by_bounds(rows, bounds, "d", 19_999).count() == 19_999
+
+
+def test_bounds_of_new_files_only(spark, measures, at):
+    measures.limit(10).write.parquet(at("x"))
+    store_bounds(spark, at("x"), at("bounds"), ["a"])
+    measures.limit(10).write.mode("append").parquet(at("x"))
+    store_bounds(spark, at("x"), at("bounds"), ["a"])
+    bounds = spark.read.parquet(at("bounds"))
+    assert bounds.count() == bounds.select("file").distinct().count() == len(
+        spark.read.parquet(at("x")).inputFiles())
+
+
+def test_partials_of_commits_make_the_statistics(spark, at):
+    documents = spark.range(30_000).select(
+        F.col("id").cast("string").alias("_id"), F.col("id").alias("original_size"),
+        (F.col("id") % 7 + 1).alias("compressed_size"),
+        F.when(F.col("id") % 10 > 0, F.exp(F.rand(3) * 5)).alias("compression_ratio"))
+    for n in (0, 1, 2, 1):  # the second commit is stored twice
+        append_with_partial(documents.where(F.col("original_size") % 3 == n), at("docs"),
+                            at("parts"), f"run-{n}")
+    append_with_partial(documents.limit(0), at("docs"), at("parts"), "nothing")
+    row = merged_stats(spark.read.parquet(at("parts")), (0.1, 0.5, 0.9)).first()
+    stored = spark.read.parquet(at("docs"))
+    exact = collection_stats(stored).first()
+    assert stored.count() == row["n_docs"] == 30_000
+    for name in ("total_original", "total_compressed", "overall_ratio"):
+        assert row[name] == exact[name]
+    assert row["avg_ratio"] == pytest.approx(exact["avg_ratio"], rel=1e-12)
+    for share, value in zip((0.1, 0.5, 0.9), row["ratio_quantiles"]):
+        below = stored.where(F.col("compression_ratio") <= value).count() / 27_000
+        assert abs(below - share) < 0.03
+
+
+def test_partials_of_nothing(spark, at):
+    documents = spark.createDataFrame(
+        [], "_id string, original_size long, compressed_size long, compression_ratio double")
+    append_with_partial(documents, at("docs"), at("parts"), "first")
+    assert merged_stats(spark.read.parquet(at("parts"))).first() == (0, None, None, None, None, None)

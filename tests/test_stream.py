@@ -12,6 +12,7 @@ from docpress.operators.stats import batch_stats
 from docpress.operators.windows import documents_total, processing_rate
 from docpress.plans.stream import run_stream
 from docpress.sources.messages import file_frames
+from docpress.streaming.late import read_timely, start_timely, window_account
 from docpress.streaming.rates import read_rates, start_rates, start_totals
 from docpress.streaming.unique import start_unique
 
@@ -226,3 +227,39 @@ def test_running_total_counts_late_and_untimed_rows(spark, at):
     assert found.agg({"total_docs": "max"}).first()[0] == 7
     # Older versions go; the one before the newest stays for its readers.
     assert len(list(Path(path).glob("version=*"))) == 2
+
+
+def test_late_rows_are_kept_apart_and_a_lost_commit_decides_alike(spark, at, tmp_path):
+    """Batches of minutes 0, 10 and 1; windows of a minute close five minutes later."""
+    def drain():
+        frames = file_frames(spark, at("in"), max_files_per_trigger=1)
+        start_timely(frames.select("key", "timestamp"), at("rows"), at("marks"), at("checkpoint"),
+                     late_seconds=300, width=60, available_now=True).awaitTermination(120)
+
+    def rows():
+        return {(r["n"], r["batch_id"], r["late"]) for r in read_timely(spark, at("rows")).groupBy(
+            "batch_id", "late").agg(F.count("*").alias("n")).collect()}
+
+    for minutes, n in ((0, 3), (10, 4), (1, 5)):
+        land(spark, at("in"), 0, n, minutes)
+        drain()
+    expected = {(3, 0, False), (4, 1, False), (5, 2, True)}
+    assert rows() == expected
+    for name in ("2", ".2.crc"):
+        (tmp_path / "checkpoint" / "commits" / name).unlink()
+    drain()
+    assert rows() == expected
+    account = window_account(read_timely(spark, at("rows")), at("marks"), late_seconds=300, width=60)
+    assert {(r["window_start"].minute, *r[1:]) for r in account.collect()} == {
+        (0, 3, 0, True), (10, 4, 0, False), (1, 0, 5, True)}
+
+
+def test_rows_without_a_time_are_on_time(spark, at):
+    for ts in (START, None):
+        spark.createDataFrame([(bytearray(b"k"), bytearray(b"v"), ts)],
+                              "key binary, value binary, timestamp timestamp"
+                              ).coalesce(1).write.mode("append").parquet(at("in"))
+    frames = file_frames(spark, at("in"), max_files_per_trigger=1)
+    start_timely(frames.select("key", "timestamp"), at("rows"), at("marks"), at("checkpoint"),
+                 late_seconds=0, width=60, available_now=True).awaitTermination(120)
+    assert [r["late"] for r in read_timely(spark, at("rows")).collect()] == [False, False]
