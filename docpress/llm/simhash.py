@@ -24,6 +24,9 @@ COUNTED_BITS = 16
 # A fingerprint with more estimated candidates first joins those that differ in one
 # or two bits, so that a dense group is linked through few of its pairs.
 DENSE = 64
+# Cosets of the Hamming code whose words serve as meeting points there. More of them
+# leave fewer links to the probes that follow; the components are the same with any.
+COSETS = range(0, BITS, 4)
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _IS_WORD = np.array([b not in (9, 10, 11, 12, 13, 32) for b in range(256)])
@@ -290,10 +293,27 @@ def _hamming(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _syndrome(fp: str) -> Column:
+    """The numbers (0 to 63) of the bits set, XORed: flipping bit i flips this by i."""
+    value = F.lit(0)
+    for place in range(6):
+        mask = sum(1 << b for b in range(BITS) if b >> place & 1)
+        odd = F.bit_count(F.col(fp).bitwiseAND(F.lit(mask - (mask >> 63 << 64)))) % 2
+        value = value.bitwiseOR(F.shiftleft(odd, place))
+    return value
+
+
 def _dense_links(prints: DataFrame) -> DataFrame:
-    """Links of fingerprints that share a point at most one bit away from each."""
-    flips = F.array(F.lit(0).cast("long"), *(F.shiftleft(F.lit(1).cast("long"), b)
-                                             for b in range(BITS)))
+    """Links of fingerprints that share a point at most one bit away from each.
+
+    The points are the words of some cosets of a Hamming code: in each coset every
+    fingerprint has one word next to it, told by its syndrome, so a fingerprint makes
+    a row for each coset and one for itself, not one for each of its 64 bits.
+    """
+    one = F.lit(1).cast("long")
+    flips = F.array(F.lit(0).cast("long"), *(
+        F.call_function("shiftleft", one, _syndrome("fp").bitwiseXOR(F.lit(coset)))
+        for coset in COSETS))
     points = prints.select("fp", F.explode(flips).alias("flip")).select(
         F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "fp")
     shared = points.groupBy("point").agg(F.min("fp").alias("least"), F.max("fp").alias("most"))
@@ -312,8 +332,8 @@ def hamming_links(prints: DataFrame, radius: int, *, parts: int | None = None) -
     group, so common values are probed less or not at all. It probes an index of
     all fingerprints, and the whole Hamming distance verifies each candidate.
 
-    Fingerprints that expect many candidates are first linked to those one or two
-    bits away through shared points; pairs connected by then are not linked once
+    Fingerprints that expect many candidates are first linked to some of those one or
+    two bits away, through shared points; pairs connected by then are not linked once
     more. So a dense group costs few links, and nothing is lost: the links have the
     same connected components as all pairs within the radius.
     """
