@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docpress.catalog.registry import (
-    AS_OF, DOCUMENT_PAYLOAD_SQL, EVENT_SLICES_SQL, SIZED_DOCUMENTS_SQL, SIZED_EVENTS_SQL, query,
-    replay_events, sized_documents, sized_events, table, table_path)
+    AS_OF, DOCUMENT_PAYLOAD_SQL, EVENT_PAYLOAD_SQL, EVENT_SLICES_SQL, FRAMES_SQL,
+    SIZED_DOCUMENTS_SQL, SIZED_EVENTS_SQL, query, replay_events, sensor_frames, sized_documents,
+    sized_events, table, table_path)
+from docpress.functions.dictionary import load_dictionary, store_dictionary, train_dictionary
 from docpress.functions.payload import row_json
 from docpress.functions.sizes import original_size
-from docpress.operators.documents import batch_documents, stamp
+from docpress.operators.documents import batch_documents, frame_documents, stamp, tag_batch, unpack
+from docpress.operators.compaction import compact_batches
 from docpress.operators.layout import (
-    read_by_id, read_spread, store_bounds, write_by_id_hash, write_by_metric, write_by_metrics)
+    keyed_options, read_by_id, read_ids, read_spread, store_bounds, write_by_id_hash,
+    write_by_metric, write_by_metrics)
 from docpress.operators.publish import publish_ordered
 from docpress.operators.ranked import metric_range, top_k_by_bounds
-from docpress.operators.sinks import append_documents
+from docpress.operators.sinks import append_documents, write_micro_batch
 from docpress.operators.stats import storage_stats
 from docpress.operators.unique import UniqueAppend, unique_append
 from docpress.scratch import scratch_path
@@ -281,3 +285,74 @@ def topk_by_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
         top_k_by_bounds(rows, bounds, metric, 100, ascending=ascending).select(
             F.lit(name).alias("list"), "_id", "original_size")
         for name, metric, ascending in lists))
+
+
+@query("keyed_lookup", f"""
+    select _id, original_size from ({SIZED_DOCUMENTS_SQL})
+    where _id in ({", ".join(f"'{i}'" for i in _WANTED)})
+""")
+def keyed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some ids, from a collection in no order at all; its files tell what they cannot hold."""
+    path = scratch_path(spark, "keyed")
+    documents = sized_documents(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)
+    append_documents(documents, path, **keyed_options(1_000_000))
+    return read_ids(spark, path, _WANTED).select("_id", "original_size")
+
+
+# Batches of the compacted collection; events are dealt to them by their ids.
+_BATCHES = 7
+
+
+@query("compacted_batches", f"""
+    with f as (select event_id % {_BATCHES} as batch_id, raw_value from ({FRAMES_SQL}))
+    select batch_id::int as batch_id, count(*) as n_docs,
+           sum(strlen(raw_value))::bigint as total_original,
+           bit_xor(('0x' || left(md5(raw_value), 15))::bigint) as marks,
+           batch_id < {_BATCHES - 1} as one_file
+    from f group by 1, 5
+""")
+def compacted_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of many small files, compacted: their rows, and which lie in one file now.
+
+    The last batch is left alone. ``marks`` says that the texts are the same.
+    """
+    path = scratch_path(spark, "batches")
+    events = table(spark, sf_dir, "events")
+    for n in range(_BATCHES):
+        frames = sensor_frames(events.where(F.col("event_id") % _BATCHES == n)).repartition(5)
+        write_micro_batch(tag_batch(frame_documents(frames, as_of=AS_OF), n), path, "compacted")
+    compact_batches(spark, path, target_bytes=1 << 40)
+    documents = read_collection(spark, path).withColumn("file", F.col("_metadata.file_path"))
+    texts = unpack(documents, ["batch_id", "file", "original_size"], data="compressed_data")
+    mark = F.conv(F.substring(F.md5("payload"), 1, 15), 16, 10).cast("bigint")
+    return texts.groupBy("batch_id").agg(
+        F.count("*").alias("n_docs"), F.sum("original_size").alias("total_original"),
+        F.bit_xor(mark).alias("marks"), (F.count_distinct("file") == 1).alias("one_file"))
+
+
+@query("dictionary_roundtrip", f"""
+    select event_id::varchar as _id, strlen(payload)::bigint as original_size,
+           md5(payload) as md5, true as half_the_size
+    from ({EVENT_PAYLOAD_SQL})
+""")
+def dictionary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events packed with a dictionary trained on them, and unpacked with the one stored.
+
+    All of them together take less than half of what they take without it.
+    """
+    path, kept = scratch_path(spark, "documents"), scratch_path(spark, "dictionaries")
+    events = table(spark, sf_dir, "events")
+    trained = train_dictionary(events.select(row_json(events.columns).alias("payload")), "payload")
+    store_dictionary(spark, kept, trained)
+    append_documents(batch_documents(events, id_col="event_id", as_of=AS_OF, dictionary=trained), path)
+    documents = read_collection(spark, path)
+    named = documents.select("metadata.dictionary").first()
+    plain = batch_documents(events, id_col="event_id", as_of=AS_OF).agg(
+        F.sum("compressed_size").alias("plain"))
+    packed = documents.agg(F.sum("compressed_size").alias("packed"))
+    # One row each.
+    half = plain.join(packed).select((F.col("packed") * 2 < F.col("plain")).alias("half_the_size"))
+    dictionary = load_dictionary(spark, kept, named["dictionary"]) if named else trained
+    texts = unpack(documents, ["_id", "original_size"], dictionary=dictionary)
+    return texts.join(F.broadcast(half)).select(
+        "_id", "original_size", F.md5("payload").alias("md5"), "half_the_size")

@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docpress.functions.dictionary import Dictionary
+
 ALGORITHM = "zlib"
 MIN_LEVEL, MAX_LEVEL, DEFAULT_LEVEL = 1, 9, 9
 
@@ -24,12 +26,18 @@ def check_level(level: int) -> int:
     return level
 
 
-def _compressor(level: int):
+def _compressor(level: int, preset: bytes | None = None):
+    def packed(raw: bytes) -> bytes:
+        if not preset:
+            return zlib.compress(raw, level)
+        coder = zlib.compressobj(level, zdict=preset)
+        return coder.compress(raw) + coder.flush()
+
     @F.arrow_udf(T.BinaryType())
     def zlib_compress(texts: pa.Array) -> pa.Array:
         # A string array is UTF-8 already: view it as bytes, do not re-encode.
         return pa.array(
-            [zlib.compress(raw, level) if raw else None
+            [packed(raw) if raw else None
              for raw in texts.cast(pa.binary()).to_pylist()],
             pa.binary(),
         )
@@ -37,12 +45,21 @@ def _compressor(level: int):
     return zlib_compress
 
 
-def unpacker(data: str, kept: Sequence[str], batch_bytes: int):
+def unpacker(data: str, kept: Sequence[str], batch_bytes: int, preset: bytes | None = None):
     """Function for ``mapInArrow``: the kept columns and the text of ``data``.
 
     It emits a batch as soon as its texts reach ``batch_bytes``, however many rows
     came in at once.
     """
+    def opened(raw: bytes) -> bytes:
+        if not preset:
+            return zlib.decompress(raw)
+        coder = zlib.decompressobj(zdict=preset)
+        text = coder.decompress(raw)
+        if not coder.eof:
+            raise zlib.error("incomplete or truncated stream")
+        return text
+
     def unpack_batches(batches):
         for batch in batches:
             columns = [batch.column(name) for name in kept]
@@ -50,7 +67,7 @@ def unpacker(data: str, kept: Sequence[str], batch_bytes: int):
             texts, size, start = [], 0, 0
             for row in range(batch.num_rows):
                 raw = blobs[row].as_py()
-                text = zlib.decompress(raw) if raw is not None else None
+                text = opened(raw) if raw is not None else None
                 texts.append(text)
                 size += len(text) if text else 0
                 if size >= batch_bytes or row == batch.num_rows - 1:
@@ -63,6 +80,10 @@ def unpacker(data: str, kept: Sequence[str], batch_bytes: int):
     return unpack_batches
 
 
-def compress(text: Column | str, level: int = DEFAULT_LEVEL) -> Column:
-    """Compressed UTF-8 bytes of ``text``; NULL and empty text give NULL."""
-    return _compressor(check_level(level))(text)
+def compress(text: Column | str, level: int = DEFAULT_LEVEL,
+             dictionary: Dictionary | None = None) -> Column:
+    """Compressed UTF-8 bytes of ``text``; NULL and empty text give NULL.
+
+    What a ``dictionary`` was used for needs the same one to be unpacked.
+    """
+    return _compressor(check_level(level), dictionary.data if dictionary else None)(text)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docpress.functions.codec import ALGORITHM, DEFAULT_LEVEL, check_level, compress, unpacker
+from docpress.functions.dictionary import Dictionary
 from docpress.functions.parsing import (
     CORRUPT_FIELD, SENSOR_SCHEMA, corrupt_aware, decode_frames, frame_id, parse_json)
 from docpress.functions.payload import document_id, row_json, timestamp_or_now
@@ -35,14 +36,18 @@ def tag_batch(df: DataFrame, batch_id: int | Column) -> DataFrame:
 
 
 def batch_documents(df: DataFrame, *, level: int = DEFAULT_LEVEL, id_col: str | None = "id",
-                    as_of: datetime | str | None = None) -> DataFrame:
-    """One document per row: the whole row as JSON, compressed, with its metrics."""
+                    as_of: datetime | str | None = None,
+                    dictionary: Dictionary | None = None) -> DataFrame:
+    """One document per row: the whole row as JSON, compressed, with its metrics.
+
+    With a ``dictionary`` its id is in the metadata.
+    """
     check_level(level)
     payload = df.select(
         document_id(df, id_col).alias("_id"),
         row_json(df.columns).alias("payload"),
     )
-    packed = payload.withColumn("data", compress("payload", level))
+    packed = payload.withColumn("data", compress("payload", level, dictionary))
     sized = packed.select(
         "_id",
         original_size("payload").alias("original_size"),
@@ -57,6 +62,7 @@ def batch_documents(df: DataFrame, *, level: int = DEFAULT_LEVEL, id_col: str |
             timestamp_or_now(as_of).alias("timestamp"),
             F.lit(level).alias("compression_level"),
             F.lit(ALGORITHM).alias("algorithm"),
+            *([F.lit(dictionary.id).alias("dictionary")] if dictionary else []),
         ).alias("metadata"),
     )
 
@@ -86,16 +92,19 @@ def frame_documents(frames: DataFrame, *, schema: T.StructType = SENSOR_SCHEMA,
 
 
 def unpack(documents: DataFrame, columns: Sequence[str], *, data: str = "data",
-           text: str = "payload", batch_bytes: int = UNPACK_BATCH_BYTES) -> DataFrame:
+           text: str = "payload", batch_bytes: int = UNPACK_BATCH_BYTES,
+           dictionary: Dictionary | None = None) -> DataFrame:
     """The named columns and the text that ``data`` holds, whatever its ratio.
 
     Texts leave the Python worker in batches of about ``batch_bytes``, so a batch
-    of small payloads may grow into any number of large texts.
+    of small payloads may grow into any number of large texts. Documents that were
+    packed with a ``dictionary`` need the same one; others may lie among them.
     """
+    preset = dictionary.data if dictionary else None
     kept = documents.select(*columns, F.col(data))
     fields = [kept.schema[c] for c in columns]
     schema = T.StructType([*fields, T.StructField("text", T.StringType())])
-    rows = kept.mapInArrow(unpacker(data, list(columns), batch_bytes), schema)
+    rows = kept.mapInArrow(unpacker(data, list(columns), batch_bytes, preset), schema)
     return rows.withColumnRenamed("text", text)
 
 

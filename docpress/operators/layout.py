@@ -149,6 +149,28 @@ def store_bounds(spark: SparkSession, path: str, bounds_path: str, metrics: Sequ
     files.groupBy("file").agg(*cells).write.mode("append").parquet(bounds_path)
 
 
+def keyed_options(expected_ids: int, id_col: str = "_id") -> dict[str, str]:
+    """Write options by which every file tells at once which ids it cannot hold.
+
+    Parquet then keeps a Bloom filter of ``id_col`` for each row group, made for
+    ``expected_ids`` of them (more only let more lookups through), and no dictionary, which
+    ids that differ do not profit from. Any append can carry them, in any layout.
+    """
+    return {f"parquet.bloom.filter.enabled#{id_col}": "true",
+            f"parquet.bloom.filter.expected.ndv#{id_col}": str(expected_ids),
+            f"parquet.enable.dictionary#{id_col}": "false"}
+
+
+def read_ids(spark: SparkSession, path: str, ids: Sequence[str], *, id_col: str = "_id") -> DataFrame:
+    """Documents of a few ids, from a collection in any layout.
+
+    Each id is a comparison that reaches the files, so row groups written with
+    :func:`keyed_options` are left out by their filters, others by their bounds alone.
+    """
+    same = (F.col(id_col) == F.lit(i) for i in ids)
+    return spark.read.parquet(path).where(reduce(Column.__or__, same, F.lit(False)))
+
+
 def _shard_of(column: Column, shards: Column) -> Column:
     return F.pmod(F.xxhash64(column), shards).cast("int")
 
