@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import docpress.operators.compaction as compaction
 from docpress.functions.dictionary import (
     Dictionary, load_dictionary, store_dictionary, train_dictionary)
+from docpress.functions.payload import row_json
 from docpress.operators.documents import batch_documents, unpack
 from docpress.operators.layout import keyed_options, read_ids
 from docpress.operators.sinks import append_documents, write_micro_batch
@@ -112,8 +113,9 @@ def frames(spark, n=500):
 
 def test_dictionary_shrinks_short_payloads_and_gives_them_back(spark, at):
     rows = frames(spark)
-    trained = train_dictionary(rows, "text")
-    assert b'"unit":"celsius"' in trained.data
+    # What is compressed is the payload, so that is what the dictionary is made of.
+    trained = train_dictionary(rows.select(row_json(rows.columns).alias("payload")), "payload")
+    assert rb'\"unit\":\"celsius\"' in trained.data
     plain, packed = batch_documents(rows), batch_documents(rows, dictionary=trained)
     sizes = [d.agg(F.sum("compressed_size")).first()[0] for d in (plain, packed)]
     assert sizes[1] * 2 < sizes[0]
