@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +34,15 @@ class PrefixSums:
         self.refine([(0, total)])
 
     def refine(self, ranges: list[tuple[int, int]]) -> None:
-        """Ask Spark for the sums inside the ranges, in cells of equal width."""
+        """Ask Spark for the sums inside the ranges, in cells of equal width.
+
+        Ranges are widened to the known sums around them, so that nothing between two
+        known sums is half known.
+        """
+        if self.known:
+            ranges = [(self.known[max(0, bisect_right(self.known, low) - 1)],
+                       self.known[min(len(self.known) - 1, bisect_left(self.known, high))])
+                      for low, high in ranges]
         merged: list[list[int]] = []
         for low, high in sorted(ranges):
             if merged and low <= merged[-1][1]:
@@ -56,10 +64,12 @@ class PrefixSums:
             inside[row["lo"]] = row["n"] > 2
             inside.setdefault(row["hi"], False)
         outside = {}
+        tops = {high for _, high in merged}
         for value, is_open in zip(self.known, self.open):
-            if not any(low <= value <= high for low, high in merged):
+            # What follows the last sum of a range is as open as it was.
+            if value in tops or not any(low <= value <= high for low, high in merged):
                 outside[value] = is_open
-        # The last value below a range opens towards it no more: the range is known.
+                inside.pop(value, None)
         points = sorted({**outside, **inside}.items())
         self.known = [v for v, _ in points]
         self.open = [o for _, o in points]
@@ -74,6 +84,38 @@ class PrefixSums:
         low = self.known[n]
         return low, min(limit, self.known[n + 1] - 1) if self.open[n] else low
 
+    def least(self, limit: int) -> tuple[int, int]:
+        """Bounds of the smallest prefix sum that is at least ``limit``."""
+        if limit <= 0:
+            return 0, 0
+        n = bisect_left(self.known, limit)
+        high = self.known[n]
+        return (max(limit, self.known[n - 1] + 1) if n and self.open[n - 1] else high), high
+
+    def level(self, capacity: int, shards: int) -> tuple[list[tuple[int, int]], list]:
+        """Bounds of where levelled shards end, and the open ranges met.
+
+        A shard ends at the first sum that reaches the mean of what is left for it and
+        those after it, but neither beyond ``capacity`` nor so early that the others
+        could not hold the rest.
+        """
+        # What has to lie before the last 0, 1, 2 ... shards.
+        before = [(self.total, self.total)]
+        for _ in range(shards - 1):
+            low, high = before[-1]
+            before.append((self.least(low - capacity)[0], self.least(high - capacity)[1]))
+
+        def end(at: int, left: int, bound: int) -> int:
+            mean = at - (at - self.total) // left
+            most = min(self.least(mean)[bound], self.reach(at + capacity)[bound])
+            return max(most, before[left - 1][bound])
+
+        low, high, ends = 0, 0, []
+        for left in range(shards, 0, -1):
+            low, high = end(low, left, 0), end(high, left, 1)
+            ends.append((low, high))
+        return ends, [(low, high) for low, high in before + ends if low < high]
+
     def fill(self, capacity: int, shards: int) -> tuple[int, int, list[tuple[int, int]]]:
         """Greedy filling: bounds of what the shards hold, and the open ranges met."""
         low = high = 0
@@ -117,11 +159,11 @@ def _search(sums: PrefixSums, shards: int, least: int) -> tuple[int, list[int]]:
             first, second = sums.reach(first + low)[0], sums.reach(second + high)[1]
             ranges.append((first, second))
         sums.refine(ranges)
-    ends, at = [], 0
-    while at < sums.total:
-        at = sums.reach(at + capacity)[0]
-        ends.append(at)
-    return capacity, ends
+    while True:
+        ends, unsure = sums.level(capacity, shards)
+        if not unsure:
+            return capacity, [low for low, _ in ends]
+        sums.refine(unsure)
 
 
 def _numbered(rows: DataFrame, keys: list[str], size: Column, label: str,
@@ -154,8 +196,10 @@ def shard_documents(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id"
     A document weighs its UTF-8 bytes plus 16. Documents of equal text form an atomic
     group that no cut divides. Groups stand in the order of their smallest id; the
     search finds the smallest capacity with which filling shard after shard needs no
-    more than ``shards`` of them, and cuts there. No other contiguous partition has a
-    smaller largest shard. ``slot`` numbers the documents of a shard from 0 in the
+    more than ``shards`` of them. No other contiguous partition has a smaller largest
+    shard. Below that capacity the cuts are levelled: a shard ends where it reaches the
+    mean of what is left, so one large group does not leave later shards empty; only
+    with fewer groups than shards are there some. ``slot`` numbers the documents of a shard from 0 in the
     order of their ids; a shard that nothing is left for has none.
 
     DataFrame operations alone. Sizes are added up by text before any shuffle, a join

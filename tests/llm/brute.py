@@ -111,6 +111,23 @@ def leaks(rows, items, similarity=0.8):
     return {(d, i, s, n, round(like, 9)) for (d, i), (like, s, n) in best.items()}
 
 
+def levelled_shards(sizes, shards):
+    """Sizes of the groups of each shard: the capacity is smallest, the cuts are levelled."""
+    capacity, out, at = smallest_capacity(sizes, shards), [], 0
+    for left in range(shards, 0, -1):
+        here = []
+        while at < len(sizes):
+            rest = sum(sizes[at:])
+            full = sum(here) * left >= sum(here) + rest
+            must = left == 1 or smallest_capacity(sizes[at:], left - 1) > capacity
+            if sum(here) + sizes[at] > capacity or (full and not must):
+                break
+            here.append(sizes[at])
+            at += 1
+        out.append(here)
+    return out
+
+
 def smallest_capacity(sizes, shards):
     def shards_needed(capacity):
         n, held = 1, 0

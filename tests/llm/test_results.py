@@ -38,6 +38,25 @@ def test_shards_are_as_small_as_they_can_be(small, monkeypatch):
             assert shard_of.setdefault(text_of[r["doc_id"]], r["shard"]) == r["shard"]
 
 
+@pytest.mark.parametrize("shards, cells", [(7, 16_384), (40, 16_384), (12, 60)])
+@pytest.mark.parametrize("hot", [0, 300, 3000])
+def test_shards_are_levelled_below_the_capacity(docs, monkeypatch, shards, cells, hot):
+    monkeypatch.setattr(sharding, "SEARCH_CELLS", cells)
+    monkeypatch.setattr(sharding, "CELLS_PER_SQUARED_SHARD", 1)
+    rows = [(i, "x" * (i * 37 % 101) + str(i)) for i in range(600)]
+    rows += [(1000 + i, "the same text in many rows") for i in range(hot)] + [(250, "the same text in many rows")]
+    found = sharding.shard_documents(docs(rows), shards=shards).collect()
+    text_of, groups = {}, {}
+    for i, text in sorted(rows):
+        groups[text] = groups.get(text, 0) + len(text) + 16
+    plain = [sum(g) for g in brute.levelled_shards(list(groups.values()), shards)]
+    held = [0] * shards
+    for r in found:
+        held[r["shard"]] += r["size"]
+    assert held == plain
+    assert min(held) > 0
+
+
 def test_more_shards_than_groups_leave_some_empty(docs):
     found = sharding.shard_documents(docs([(1, "a"), (2, "a"), (3, "bb")]), shards=5).collect()
     assert sorted((r["doc_id"], r["shard"]) for r in found) == [(1, 0), (2, 0), (3, 1)]
