@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 # Fixed value: zlib looks no further back than this.
 MOST_BYTES = 32 * 1024
-# Characters of a window that is counted, and of text that is looked at in all.
-WINDOW = 16
+# Characters of the windows that are counted: short ones for what stands between values of many
+# digits, long ones for values that are common themselves. Of text that is looked at in all.
+WINDOWS = (8, 12, 16)
 SAMPLE_CHARS = 4_000_000
+# Characters that a pointer into the dictionary costs; a window saves those beyond them.
+POINTER_CHARS = 3
 
 
 @dataclass(frozen=True)
@@ -26,16 +29,17 @@ class Dictionary:
 
 
 def _chained(windows: list[str], most_bytes: int) -> bytes:
-    """Greedy cover: the commonest window left, drawn out to both sides by windows that
-    overlap it in all but one character. The commonest stands last, nearest to the text."""
+    """Greedy cover: the best window left that no piece holds yet, drawn out to both sides by
+    windows of its length that overlap it in all but one character. The best stands last,
+    nearest to the text."""
     place = {w: n for n, w in enumerate(windows)}
     after, ahead = {}, {}
     for w in windows:
         after.setdefault(w[:-1], []).append(w)
         ahead.setdefault(w[1:], []).append(w)
-    used, pieces, size = set(), [], 0
+    used, held, pieces, size = set(), set(), [], 0
     for seed in windows:
-        if seed in used:
+        if seed in used or seed in held:
             continue
         used.add(seed)
         text = seed
@@ -45,6 +49,7 @@ def _chained(windows: list[str], most_bytes: int) -> bytes:
                 at = min(free, key=place.__getitem__)
                 used.add(at)
                 text = text + at[-1] if right else at[0] + text
+        held.update(text[i:i + n] for n in WINDOWS for i in range(len(text) - n + 1))
         raw = text.encode()
         if size + len(raw) > most_bytes:
             raw = raw[:most_bytes - size]
@@ -61,20 +66,25 @@ def train_dictionary(texts: DataFrame, column: str, *, most_bytes: int = MOST_BY
 
     The sample holds about ``sample_chars`` characters: texts whose hash is below the share that
     makes so many, the same at every partitioning. Spark counts in how many of them each window
-    of ``WINDOW`` characters occurs; at most ``most_bytes`` windows reach the driver and
-    are chained there. Without windows in common the dictionary is empty.
+    of ``WINDOWS`` characters occurs; at most ``most_bytes`` windows, those that save most, reach
+    the driver and are chained there. Without windows in common the dictionary is empty.
     """
     if not 0 < most_bytes <= MOST_BYTES:
         raise ValueError(f"a dictionary has 1..{MOST_BYTES} bytes, got {most_bytes}")
-    text = texts.select(F.col(column).alias("text")).where(F.char_length(column) >= WINDOW)
+    text = texts.select(F.col(column).alias("text")).where(
+        F.char_length(column) >= min(WINDOWS))
     total = text.agg(F.sum(F.char_length("text"))).first()[0] or 0
     share = min(1.0, sample_chars / total) if total else 1.0
     sample = text.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    windows = sample.select(F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.char_length("text") - (WINDOW - 1)),
-        lambda at: F.col("text").substr(at, F.lit(WINDOW))))).alias("window"))
+    starts = F.sequence(F.lit(1), F.char_length("text") - (min(WINDOWS) - 1))
+    # What the end of a text cuts short is a window if it is as long as one.
+    cut = F.flatten(F.transform(starts, lambda at: F.array(
+        *(F.col("text").substr(at, F.lit(n)) for n in WINDOWS))))
+    windows = sample.select(F.explode(F.array_distinct(cut)).alias("window")).where(
+        F.char_length("window").isin(*WINDOWS))
+    saved = F.col("n") * (F.char_length("window") - POINTER_CHARS)
     common = (windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
-              .orderBy(F.col("n").desc(), "window").limit(most_bytes))
+              .orderBy(saved.desc(), "window").limit(most_bytes))
     return Dictionary(_chained([row["window"] for row in common.collect()], most_bytes))
 
 

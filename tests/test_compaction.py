@@ -142,3 +142,20 @@ def test_dictionary_is_bounded_and_empty_without_common_text(spark):
     assert train_dictionary(odd, "text").data == b""
     with pytest.raises(ValueError):
         train_dictionary(odd, "text", most_bytes=40_000)
+
+
+def test_dictionary_halves_payloads_whose_ids_and_times_have_many_values(spark):
+    """What stands between values is common, though hardly any 16 characters around it are."""
+    n, mixed = F.col("id"), lambda salt, most: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(most))
+    rows = spark.range(30_000).select(
+        (n * 701).alias("event_id"),
+        F.timestamp_micros(mixed(1, 1800 * 86_400_000_000) + 1_704_067_200_000_000).alias("ts"),
+        mixed(2, 90_000).alias("user_id"),
+        F.element_at(F.array(*map(F.lit, ("click", "view", "error"))), (mixed(3, 3) + 1).cast("int"))
+        .alias("event_type"),
+        (mixed(4, 15_000) / 100).alias("value"),
+        F.format_string('{"k": %d}', mixed(5, 100)).alias("props"))
+    trained = train_dictionary(rows.select(row_json(rows.columns).alias("payload")), "payload")
+    sizes = [batch_documents(rows, id_col="event_id", dictionary=d).agg(
+        F.sum("compressed_size")).first()[0] for d in (None, trained)]
+    assert sizes[1] * 2 < sizes[0]
