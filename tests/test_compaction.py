@@ -46,6 +46,27 @@ def test_compaction_keeps_rows_and_leaves_the_last_batch_alone(spark, at):
     assert compaction.compact_batches(spark, at("c")) == 0
 
 
+def test_a_batch_lies_in_as_many_files_as_its_size_asks_for(spark, at, monkeypatch):
+    """Also a batch that is larger than what AQE takes for one task."""
+    monkeypatch.setattr(compaction, "TARGET_PARTITION_BYTES", 20_000)
+    rows = spark.range(60_000).select(F.sha2(F.col("id").cast("string"), 256).alias("_id"),
+                                      F.pmod("id", F.lit(6)).alias("batch_id"))
+    write_micro_batch(rows.repartition(7), at("c"), "first")
+    before = content(spark, at("c"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "50000")
+    try:
+        assert compaction.compact_batches(spark, at("c"), target_bytes=1 << 40) == 5
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert files_of(spark, at("c")) == {("first", n): 7 if n == 5 else 1 for n in range(6)}
+    assert content(spark, at("c")) == before
+    # A batch has some 700 KB.
+    write_micro_batch(rows.where("batch_id < 5").repartition(7), at("c"), "first")
+    assert compaction.compact_batches(spark, at("c"), target_bytes=300_000) == 5
+    assert set(files_of(spark, at("c")).values()) == {3, 7}
+    assert content(spark, at("c")) == before
+
+
 def test_a_replayed_last_batch_is_stored_once_after_compaction(spark, at):
     filled(spark, at("c"))
     before = content(spark, at("c"))
