@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from docpress.functions.dictionary import Dictionary
 
 ALGORITHM = "zlib"
+# What a Python worker holds beside the Arrow batch that came in.
+PIECE_BYTES = 2 * 1024 * 1024
 MIN_LEVEL, MAX_LEVEL, DEFAULT_LEVEL = 1, 9, 9
 
 
@@ -26,7 +28,7 @@ def check_level(level: int) -> int:
     return level
 
 
-def _compressor(level: int, preset: bytes | None = None):
+def _compressor(level: int, preset: bytes | None = None, piece_bytes: int = PIECE_BYTES):
     def packed(raw: bytes) -> bytes:
         if not preset:
             return zlib.compress(raw, level)
@@ -35,12 +37,18 @@ def _compressor(level: int, preset: bytes | None = None):
 
     @F.arrow_udf(T.BinaryType())
     def zlib_compress(texts: pa.Array) -> pa.Array:
-        # A string array is UTF-8 already: view it as bytes, do not re-encode.
-        return pa.array(
-            [packed(raw) if raw else None
-             for raw in texts.cast(pa.binary()).to_pylist()],
-            pa.binary(),
-        )
+        # A string array is UTF-8 already: view it as bytes, do not re-encode. Python holds
+        # one text at a time, and compressed ones of a piece before they are in Arrow.
+        blobs, done, some, size = texts.cast(pa.binary()), [], [], 0
+        for row in range(len(blobs)):
+            raw = blobs[row].as_py()
+            some.append(packed(raw) if raw else None)
+            size += len(some[-1]) if raw else 0
+            if size >= piece_bytes:
+                done.append(pa.array(some, pa.binary()))
+                some, size = [], 0
+        done.append(pa.array(some, pa.binary()))
+        return pa.concat_arrays(done) if len(done) > 1 else done[0]
 
     return zlib_compress
 
@@ -60,22 +68,27 @@ def unpacker(data: str, kept: Sequence[str], batch_bytes: int, preset: bytes | N
             raise zlib.error("incomplete or truncated stream")
         return text
 
+    def pieces(batch):
+        columns = [batch.column(name) for name in kept]
+        blobs = batch.column(data)
+        texts, size, start = [], 0, 0
+        for row in range(batch.num_rows):
+            raw = blobs[row].as_py()
+            text = opened(raw) if raw is not None else None
+            texts.append(text)
+            size += len(text) if text else 0
+            if size >= batch_bytes or row == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays(
+                    [c.slice(start, len(texts)) for c in columns]
+                    + [pa.array(texts, pa.binary()).cast(pa.string())],
+                    names=[*kept, "text"])
+                texts, size, start = [], 0, row + 1
+
     def unpack_batches(batches):
         for batch in batches:
-            columns = [batch.column(name) for name in kept]
-            blobs = batch.column(data)
-            texts, size, start = [], 0, 0
-            for row in range(batch.num_rows):
-                raw = blobs[row].as_py()
-                text = opened(raw) if raw is not None else None
-                texts.append(text)
-                size += len(text) if text else 0
-                if size >= batch_bytes or row == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [c.slice(start, len(texts)) for c in columns]
-                        + [pa.array(texts, pa.binary()).cast(pa.string())],
-                        names=[*kept, "text"])
-                    texts, size, start = [], 0, row + 1
+            yield from pieces(batch)
+            # The next one is read before the name is bound anew.
+            del batch
 
     return unpack_batches
 

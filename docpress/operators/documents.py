@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docpress.functions.codec import ALGORITHM, DEFAULT_LEVEL, check_level, compress, unpacker
+from docpress.functions.codec import (
+    ALGORITHM, DEFAULT_LEVEL, PIECE_BYTES, check_level, compress, unpacker)
 from docpress.functions.dictionary import Dictionary
 from docpress.functions.parsing import (
     CORRUPT_FIELD, SENSOR_SCHEMA, corrupt_aware, decode_frames, frame_id, parse_json)
@@ -21,7 +22,6 @@ from docpress.functions.payload import document_id, row_json, timestamp_or_now
 from docpress.functions.sizes import compressed_size, original_size, size_ratio
 
 PROCESS_TIME = "process_timestamp"
-UNPACK_BATCH_BYTES = 64 * 1024 * 1024
 
 
 def stamp(df: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
@@ -92,7 +92,7 @@ def frame_documents(frames: DataFrame, *, schema: T.StructType = SENSOR_SCHEMA,
 
 
 def unpack(documents: DataFrame, columns: Sequence[str], *, data: str = "data",
-           text: str = "payload", batch_bytes: int = UNPACK_BATCH_BYTES,
+           text: str = "payload", batch_bytes: int = PIECE_BYTES,
            dictionary: Dictionary | None = None) -> DataFrame:
     """The named columns and the text that ``data`` holds, whatever its ratio.
 

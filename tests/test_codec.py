@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import inspect
 import subprocess
 import sys
+import tracemalloc
 import zlib
 
 import pyarrow as pa
@@ -110,3 +112,19 @@ def test_unpack_returns_every_text(spark):
     assert {r["_id"]: r["t"] for r in rows} == {
         str(i): "é" * i if i % 7 else None for i in range(200)}
     assert all(r["nested"]["id"] == int(r["_id"]) for r in rows)
+
+
+def test_the_codec_holds_little_beside_its_batch():
+    """Arrow gets compressed texts in pieces, and unpacked ones leave in pieces."""
+    texts = pa.array([f"{n} " + "text of some length " * 5_000 for n in range(400)])
+    packed = codec._compressor(1).func(texts)
+    assert [zlib.decompress(b).decode() for b in packed.to_pylist()] == texts.to_pylist()
+    tracemalloc.start()
+    codec._compressor(1).func(texts)
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+    batch = pa.RecordBatch.from_pydict({"_id": list(range(400)), "data": packed})
+    sizes = [b.nbytes for b in codec.unpacker("data", ["_id"], codec.PIECE_BYTES)(iter([batch]))]
+    assert len(sizes) > 10 and max(sizes) < 4 << 20
+    default = inspect.signature(unpack).parameters["batch_bytes"].default
+    assert default == codec.PIECE_BYTES
