@@ -8,11 +8,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docpress.sources.files import detect_format, input_inventory, read_table
 
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 SHARDS, SHARD = "shards", "shard"
+# What a row takes in a sort beside its columns: its pointers, its place, lengths and marks.
+ROW_BYTES = 48
 
 # Tasks per core when the input is small: enough to even out long and short texts.
 TASKS_PER_CORE = 2
@@ -67,6 +70,31 @@ def planned_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def _bytes_in_memory(fields: T.StructType, parent: str = "") -> Column:
+    """Bytes of a row while it is sorted: what varies in length as long as it is."""
+    sizes = []
+    for field in fields:
+        name = f"{parent}`{field.name.replace('`', '``')}`"
+        if isinstance(field.dataType, T.StructType):
+            sizes.append(_bytes_in_memory(field.dataType, f"{name}."))
+            continue
+        sizes.append(F.lit(8))
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.coalesce(F.octet_length(name), F.lit(0)))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.VariantType)):
+            sizes.append(F.octet_length(F.coalesce(F.col(name).cast("string"), F.lit(""))))
+    return reduce(Column.__add__, sizes, F.lit(ROW_BYTES))
+
+
+def partitions_to_sort(documents: DataFrame) -> int:
+    """Partitions whose rows take about ``TARGET_PARTITION_BYTES`` each while they are sorted.
+
+    Files say little about that: columns of few values are small in them. One narrow pass.
+    """
+    size = F.sum(_bytes_in_memory(documents.schema).cast("bigint"))
+    return partitions_for_bytes(documents.agg(size).first()[0] or 0)
+
+
 def write_by_metric(documents: DataFrame, path: str, metric: str, *,
                     partitions: int | None = None, id_col: str = "_id",
                     mode: str = "overwrite") -> None:
@@ -77,10 +105,10 @@ def write_by_metric(documents: DataFrame, path: str, metric: str, *,
     one document stored very often, still splits over several files.
 
     Give it stored documents: the position is stable only for a repeatable scan, and
-    the number of files follows the stored size unless ``partitions`` fixes it.
+    the number of files follows the size of the rows unless ``partitions`` fixes it.
     """
     position = "_position"
-    partitions = partitions or partitions_for_bytes(planned_bytes(documents))
+    partitions = partitions or partitions_to_sort(documents)
     order = [F.col(metric).desc(), F.col(id_col), F.col(position)]
     (documents.withColumn(position, F.monotonically_increasing_id())
      .repartitionByRange(partitions, *order)
@@ -115,7 +143,7 @@ def write_by_metrics(documents: DataFrame, path: str, metrics: Sequence[str], *,
     Ties are broken as in :func:`write_by_metric`, so one address splits over files.
     """
     address, position = "_address", "_position"
-    partitions = partitions or partitions_for_bytes(planned_bytes(documents))
+    partitions = partitions or partitions_to_sort(documents)
     bits = min(MOST_RANK_BITS, math.ceil(math.log2(max(partitions, 2)) / len(metrics)) + 2)
     cells = 1 << bits
     shares = [n / cells for n in range(1, cells)]

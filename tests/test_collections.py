@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -351,3 +352,17 @@ def test_partials_of_nothing(spark, at):
         [], "_id string, original_size long, compressed_size long, compression_ratio double")
     append_with_partial(documents, at("docs"), at("parts"), "first")
     assert merged_stats(spark.read.parquet(at("parts"))).first() == (0, None, None, None, None, None)
+
+
+def test_files_follow_the_size_of_rows_that_are_small_on_disk(spark, at):
+    rows = spark.range(200_000).select(
+        F.lit("same").alias("_id"), (F.col("id") % 3).alias("n"),
+        F.struct(F.repeat(F.lit("x"), 1500).alias("text"), F.array("id").alias("ids")).alias("data"))
+    rows.write.parquet(at("stored"))
+    stored = spark.read.parquet(at("stored"))
+    for write, by in ((write_by_metric, "n"), (write_by_metrics, ["n"])):
+        write(stored, at(write.__name__), by)
+        assert len(list(Path(at(write.__name__)).glob("*.parquet"))) >= 3
+    assert spark.read.parquet(at("write_by_metric")).count() == 200_000
+    write_by_metric(stored.limit(0), at("none"), "n")
+    assert spark.read.parquet(at("none")).count() == 0
