@@ -197,8 +197,10 @@ def _counted(lengths: tuple[int, ...], table=None):
 def _merged(docs: DataFrame, lengths: tuple[int, ...], table=None) -> DataFrame:
     """Counts of all phrases of these lengths, the tasks' runs merged by their prefix."""
     runs = docs.mapInArrow(_counted(lengths, table), "lang string, prefix string, phrase string, n long")
-    return (runs.repartition(partitions(docs.sparkSession), "lang", "prefix")
-            .groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n"))
+    # Up to two words are their own prefix; it need not travel beside them.
+    keys = ["lang", "prefix", "phrase"] if max(lengths) > 2 else ["lang", "phrase"]
+    return (runs.select(*keys, "n").repartition(partitions(docs.sparkSession), *keys[:2])
+            .groupBy(*keys).agg(F.sum("n").alias("n"))
             .select("lang", "phrase", "n"))
 
 
