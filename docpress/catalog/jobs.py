@@ -10,6 +10,7 @@ from docpress.catalog.registry import (
     AS_OF, AS_OF_TEXT, DOCUMENT_PAYLOAD_SQL, EVENT_SLICES_SQL, FRAMES_SQL, micros, query,
     replay_events, sensor_frames, table, table_path)
 from docpress.operators.documents import frame_documents, tag_batch, unpack
+from docpress.operators.layout import write_files_of
 from docpress.operators.sinks import write_micro_batch
 from docpress.operators.stats import batch_stats
 from docpress.plans.batch import run_batch
@@ -95,7 +96,7 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("key", "original_size", F.md5("payload").alias("md5"))
 
 
-# One file for each language.
+# As many files as there are languages; rows are dealt to them evenly.
 _LANDED_SQL = f"""
     select lang, to_json(q)::varchar as payload
     from (select doc_id, text, lang, source, n_chars, lang as part,
@@ -115,8 +116,7 @@ _LANDED_SQL = f"""
 def checked_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run and its retry store one copy; a floor that is passed, and one that is not."""
     landed, path = scratch_path(spark, "landed"), scratch_path(spark, "documents")
-    (table(spark, sf_dir, "documents").withColumn("part", F.col("lang")).repartition("part")
-     .write.partitionBy("part").parquet(landed))
+    write_files_of(table(spark, sf_dir, "documents").withColumn("part", F.col("lang")), landed, "part")
     reports = [
         checked_run(spark, landed, path, id_col="doc_id", as_of=AS_OF, strict=False,
                     min_ratio=floor, format="parquet").select(

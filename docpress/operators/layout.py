@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docpress.functions.parcels import parceller, unparcel
 from docpress.sources.files import detect_format, input_inventory, read_table
 
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
@@ -17,6 +18,9 @@ SHARDS, SHARD = "shards", "shard"
 # What a row takes in a sort beside its columns: its pointers, its place, lengths and marks.
 ROW_BYTES = 48
 
+# Row groups of files that are few and so may be large: a scan splits them no further.
+ROW_GROUP_BYTES = 32 * 1024 * 1024
+
 # Tasks per core when the input is small: enough to even out long and short texts.
 TASKS_PER_CORE = 2
 # Expected growth of gzip input once it is read.
@@ -65,6 +69,27 @@ def read_spread(spark: SparkSession, path: str, **options: object) -> DataFrame:
     return spread(rows, partitions) if partitions else rows
 
 
+def write_files_of(rows: DataFrame, path: str, column: str) -> None:
+    """Write as many Parquet files as the text ``column`` has values, in equal parts of the rows.
+
+    A file is written by one task. Were it the file of one value, that task would read
+    all rows of the commonest; here each reads the same share, whatever the values' shares,
+    and reads it compressed: the fewer files, the larger a share is. NULL counts as no
+    value. The values themselves pass through the driver, one for each file, like the
+    files' names.
+    """
+    named = rows.select(column).distinct().where(F.col(column).isNotNull())
+    starts = {row[0]: place for place, row in enumerate(named.collect())}
+    if not starts:
+        # Without rows there are no files either.
+        rows.write.partitionBy(column).parquet(path)
+        return
+    dealt = rows.mapInArrow(parceller(column, starts, len(starts)), "place int, parcel binary")
+    (dealt.repartitionById(len(starts), "place").select("parcel")
+     .mapInArrow(unparcel(), rows.schema)
+     .write.options(**{"maxRecordsPerFile": 0, "parquet.block.size": ROW_GROUP_BYTES}).parquet(path))
+
+
 def planned_bytes(df: DataFrame) -> int:
     """Size of a stored table in bytes, as Spark's plan knows it from the files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docpress.errors import DuplicateKeyError
+from docpress.functions.parcels import parceller, unparcel
 from docpress.operators.documents import batch_documents
 from docpress.operators.layout import (
-    read_by_id, store_bounds, write_by_id_hash, write_by_metric, write_by_metrics)
+    read_by_id, store_bounds, write_by_id_hash, write_by_metric, write_by_metrics, write_files_of)
 from docpress.operators.ranked import metric_range, top_k, top_k_by_bounds
 from docpress.operators.sinks import append_documents, document_store_options, write_micro_batch
 from docpress.operators.stats import (
@@ -366,3 +368,44 @@ def test_files_follow_the_size_of_rows_that_are_small_on_disk(spark, at):
     assert spark.read.parquet(at("write_by_metric")).count() == 200_000
     write_by_metric(stored.limit(0), at("none"), "n")
     assert spark.read.parquet(at("none")).count() == 0
+
+
+def rows_by_file(spark, path):
+    return sorted(r["count"] for r in spark.read.parquet(path).groupBy("_metadata.file_path").count().collect())
+
+
+def test_files_of_values_are_of_one_size_and_keep_the_rows(spark, at):
+    rows = spark.range(5_000, numPartitions=3).select(
+        "id", F.when(F.col("id") % 100 > 9, "en").when(
+            F.col("id") % 10 > 0, F.concat(F.lit("l"), F.col("id") % 10)).alias("lang"),
+        F.when(F.col("id") % 3 > 0, F.struct(F.timestamp_micros("id").alias("at"), F.array(
+            F.lit(""), F.lit(None).cast("string")).alias("texts"))).alias("more"),
+        F.col("id").cast("decimal(20,3)").alias("exact"), F.lit(b"\x00\xff").alias("raw"))
+    write_files_of(rows, at("f"), "lang")
+    stored = spark.read.parquet(at("f"))
+    assert stored.dtypes == rows.dtypes
+    assert stored.exceptAll(rows).count() == rows.exceptAll(stored).count() == 0
+    counts = rows_by_file(spark, at("f"))
+    assert len(counts) == 10 and counts[-1] - counts[0] < 50
+
+
+@pytest.mark.parametrize("values, files", [
+    ([], 0), (["a"], 1), (["a", None, None], 1), ([f"v{n}" for n in range(16)], 16), (["", "a", "a"], 2)])
+def test_as_many_files_as_values_however_few_the_rows(spark, at, values, files):
+    rows = spark.createDataFrame([(n, v) for n, v in enumerate(values)], "n long, v string")
+    write_files_of(rows.repartition(16) if values else rows, at("f"), "v")
+    assert len(list(Path(at("f")).rglob("*.parquet"))) == files
+    if values:
+        assert sorted(map(tuple, spark.read.parquet(at("f")).collect()), key=repr) == sorted(
+            map(tuple, rows.collect()), key=repr)
+
+
+def test_parcels_are_small_and_hold_all_rows():
+    batch = pa.RecordBatch.from_pydict({
+        "lang": ["en"] * 900 + ["de", None] * 50, "text": [f"text {n % 50} " * 100 for n in range(1_000)]})
+    parcels = list(parceller("lang", {"en": 0, "de": 1}, 2)([batch, batch]))
+    assert sum(p.nbytes for p in parcels) * 20 < batch.nbytes
+    rows = list(unparcel()(parcels))
+    assert {p["place"][0].as_py() for p in parcels} == {0, 1}
+    assert all(abs(r.num_rows - 500) <= 2 for r in rows)
+    assert sorted(t for r in rows for t in r["text"].to_pylist()) == sorted(2 * batch["text"].to_pylist())

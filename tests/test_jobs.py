@@ -3,11 +3,14 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+import docpress.catalog.jobs as jobs
+from docpress.catalog import oracle_sql
 from docpress.errors import QualityGateError
 from docpress.operators.documents import unpack
 from docpress.operators.gates import check, enforce
 from docpress.plans.batch import run_batch
 from docpress.plans.daily import checked_run
+from tests import oracle
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -121,3 +124,22 @@ def test_input_without_files_is_reported(spark, tmp_path, at):
 def test_run_id_needs_a_collection_of_files(spark, landing):
     with pytest.raises(ValueError, match="run_id"):
         run_batch(spark, landing, None, run_id="r", output_format="mongodb")
+
+
+@pytest.mark.parametrize("common, second, third", [("en", "de", "fr"), ("01", "2", "")])
+def test_daily_run_lands_a_common_language_in_files_of_one_size(spark, at, monkeypatch, common,
+                                                                second, third):
+    """Languages may read like numbers, or be empty or missing."""
+    last = F.col("id") % 10
+    lang = F.when(last < 7, common).when(last == 7, second).when(last == 8, third)
+    (spark.range(2_000, numPartitions=3).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 7 > 0, F.repeat(F.lit("word "), 40)).alias("text"),
+        lang.alias("lang"), F.lit("src").alias("source"), F.lit(200).cast("bigint").alias("n_chars"))
+     .write.parquet(at("sf/documents.parquet")))
+    monkeypatch.setattr(jobs, "scratch_path", lambda spark, label: at(label))
+    report = jobs.checked_run_report(spark, at("sf"))
+    con = oracle.connect(at("none"))
+    con.execute(f"create view documents as select * from '{at('sf/documents.parquet')}/*.parquet'")
+    assert oracle.spark_rows(report) == oracle.sql_rows(con, oracle_sql()["checked_run_report"])
+    files = spark.read.parquet(at("landed")).groupBy("_metadata.file_path").count().collect()
+    assert len(files) == 3 and max(f["count"] for f in files) < 700
